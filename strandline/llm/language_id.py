@@ -14,15 +14,15 @@ text is never predicted; without any labelled row everything is `und`; repeated
 empty table gives an empty table.  Identifier, source and language columns never enter a prediction.
 """
 
-from __future__ import annotations
-
 import bisect
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.common import Bounded, id_text, slices, texts_of
@@ -192,17 +192,41 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     return LanguageModel(counts, scripts, switch)
 
 
-def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score, spans of every row.  The model is bounded by train()'s max_grams."""
-    model.cache.clear()
-    sent = df.sparkSession.sparkContext.broadcast((model.row, model.table, model.masks, model.languages, model.switch))
+def _sent(model: LanguageModel, spark: SparkSession):
+    """A function that gives the model on an executor.  Its size is bounded by train()'s max_grams."""
+    sent = spark.sparkContext.broadcast((model.row, model.table, model.masks, model.languages, model.switch))
 
-    def predict(batches):
+    def load() -> LanguageModel:
         own = LanguageModel({}, {})
         own.row, own.table, own.masks, own.languages, own.switch = sent.value
+        return own
+
+    return load
+
+
+def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred, score, spans of every row."""
+    load = _sent(model, df.sparkSession)
+
+    def predict(batches):
+        own = load()
         for batch in batches:
             for part in slices(batch):
                 lang, score, spans = zip(*own.predict(texts_of(part)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.string())], names=["doc_id", "lang_pred", "score", "spans"])
 
     return id_text(df, id_col, text_col).mapInArrow(predict, "doc_id long, lang_pred string, score double, spans string")
+
+
+def predicted(text: Column, model: LanguageModel, spark: SparkSession) -> Column:
+    """lang_pred and score of a text, as a struct; for filters that keep all columns."""
+    load = _sent(model, spark)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = load()
+        for texts in batches:
+            found = [own.predict(texts.iloc[i : i + 1000].tolist()) for i in range(0, len(texts), 1000)]
+            yield pd.DataFrame([(lang, score) for part in found for lang, score, _ in part], columns=["lang_pred", "score"])
+
+    return predict(text)
