@@ -102,7 +102,7 @@ def linked(text: str, strong: list[Span], weak: list[Span], reach: int) -> list[
         starts, ends = tops[name]
         i = bisect_left(starts, span[0])
         scope = bisect_right(breaks, span[0])
-        if i and span[0] - ends[i - 1] <= reach and bisect_right(breaks, ends[i - 1]) >= scope:
+        if i and span[0] - ends[i - 1] <= reach and bisect_left(breaks, ends[i - 1]) >= scope:
             return True
         return i < len(starts) and starts[i] - span[1] <= reach and bisect_right(breaks, starts[i]) == scope
 
