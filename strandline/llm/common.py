@@ -21,18 +21,18 @@ def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
-def slices(batch: pa.RecordBatch, text_col: str = "text"):
-    """Zero-copy pieces of a batch of about SLICE_BYTES of text each; a single longer text is a piece by itself."""
+def slices(batch: pa.RecordBatch, text_col: str = "text", size: int = SLICE_BYTES):
+    """Zero-copy pieces of a batch of about `size` bytes of text each; a single longer text is a piece by itself."""
     n = batch.num_rows
     if n == 0:
         return
     lengths = pc.binary_length(batch.column(text_col)).fill_null(0).to_numpy(zero_copy_only=False)
-    start, size = 0, 0
+    start, held = 0, 0
     for i in range(n):
-        if size and size + lengths[i] > SLICE_BYTES:
+        if held and held + lengths[i] > size:
             yield batch.slice(start, i - start)
-            start, size = i, 0
-        size += int(lengths[i])
+            start, held = i, 0
+        held += int(lengths[i])
     yield batch.slice(start)
 
 

@@ -7,7 +7,7 @@ one label are the spans of mixed-language text.  A document's language is the la
 its score is the share of letters so labelled times the mean probability of the label among its words.
 
 Training may use a bounded sample: at most about `sample_docs` labelled documents for each language, taken by
-a hash of the text (whole texts).  Counting runs on the executors; the model keeps at most `max_grams` n-grams.
+a hash of the text (whole texts).  Counting runs on the executors, into a fixed number of buckets of hashed n-grams.
 
 Defined results: null text, or text without a letter, is `und` with score 0; a language with no training
 text is never predicted; without any labelled row everything is `und`; repeated rows give repeated rows; an
@@ -16,7 +16,6 @@ empty table gives an empty table.  Identifier, source and language columns never
 
 import bisect
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Bounded, id_text, slices, texts_of
+from strandline.llm.common import id_text, slices, texts_of
+from strandline.llm.shingles import mixed
 
 #: Starts of ranges of letters and their scripts (fixed values); letters between a range's end and the next start are 'other'.
 SCRIPTS = [
@@ -35,64 +35,78 @@ SCRIPTS = [
     (0x1E00, 0x1EFF, "latin"), (0x1F00, 0x1FFF, "greek"), (0x3040, 0x309F, "kana"), (0x30A0, 0x30FF, "kana"),
     (0x3400, 0x4DBF, "han"), (0x4E00, 0x9FFF, "han"), (0xAC00, 0xD7AF, "hangul"), (0xF900, 0xFAFF, "han"),
 ]
-_STARTS = [s for s, _, _ in SCRIPTS]
+_STARTS = np.array([s for s, _, _ in SCRIPTS])
+_ENDS = np.array([e for _, e, _ in SCRIPTS])
+_NAMES = np.array([n for _, _, n in SCRIPTS])
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
-#: Words whose scores a Python worker keeps; of a longer word every n-gram counts, each time anew.
-CACHE_WORDS = 200_000
+#: Buckets of hashed n-grams, the longest n-gram, and bytes of text whose words are scored at once.
+BUCKETS, LONGEST = 1 << 17, 3
+TEXT_BYTES = 16 << 20
+_STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+
+def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all n-grams of the words (with word edges from 2 letters on), the word of each, and each word's first letter."""
+    code = np.frombuffer(("\n" + "".join(f"<{w}>\n" for w in words)).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    breaks = code == 10
+    word = np.cumsum(breaks) - 1
+    first = code[np.flatnonzero(breaks)[:-1] + 2].astype(np.int64)
+    buckets, owners = [], []
+    h = np.zeros(len(code), np.uint64)
+    ok = np.ones(len(code), bool)
+    for n in range(LONGEST):
+        h = h[: len(code) - n] + code[n:] * _STEPS[n]
+        ok = ok[: len(code) - n] & ~breaks[n:]
+        some = ok if n else ok & (code != 60) & (code != 62)
+        at = np.flatnonzero(some)
+        buckets.append((mixed(h[at] + np.uint64(n)) >> np.uint64(64 - 17)).astype(np.int64))
+        owners.append(word[at])
+    return np.concatenate(buckets), np.concatenate(owners), first
+
+
+def scripts_of(first: np.ndarray) -> np.ndarray:
+    """Names of the scripts of letters."""
+    i = np.searchsorted(_STARTS, first, side="right") - 1
+    return np.where((i >= 0) & (first <= _ENDS[i]), _NAMES[i], "other")
 
 
-def script_of(word: str) -> str:
-    """Script of a word's first letter."""
-    i = bisect.bisect_right(_STARTS, ord(word[0])) - 1
-    return SCRIPTS[i][2] if i >= 0 and ord(word[0]) <= SCRIPTS[i][1] else "other"
-
-
-def grams(word: str, longest: int = 3) -> list[str]:
-    edged = f"<{word}>"
-    return [*word, *(edged[i : i + n] for n in range(2, longest + 1) for i in range(len(edged) - n + 1))]
+class LanguageModel:
+    """Log probabilities of hashed n-grams for each language, with add-one smoothing, and the languages of each script."""
 
+    def __init__(self, languages: list[str], counts: np.ndarray, scripts: dict[str, list[str]], switch: float = 8.0):
+        self.languages, self.switch = languages, switch
+        self.table = np.log((counts + 1.0) / (counts.sum(axis=0) + len(counts)))
+        self.masks = {s: np.array([0.0 if lang in known else -1e6 for lang in languages]) for s, known in scripts.items()}
 
-class LanguageModel:
-    """Log probabilities of n-grams for each language, with add-one smoothing, and the languages of each script."""
-
-    def __init__(self, counts: dict[str, dict[str, int]], scripts: dict[str, list[str]], switch: float = 8.0):
-        self.languages = sorted({lang for by in counts.values() for lang in by})
-        at = {lang: k for k, lang in enumerate(self.languages)}
-        table = np.zeros((len(counts) + 1, len(self.languages)))
-        self.row = {}
-        for i, (gram, by) in enumerate(counts.items()):
-            self.row[gram] = i
-            for lang, n in by.items():
-                table[i, at[lang]] = n
-        total = table.sum(axis=0)
-        self.table = np.log((table + 1.0) / (total + len(counts) + 1.0)) if self.languages else table
-        self.masks = {s: np.array([0.0 if lang in langs else -1e6 for lang in self.languages]) for s, langs in scripts.items()}
-        self.switch = switch
-        self.cache = Bounded(self.word_scores, CACHE_WORDS)
-
-    def word_scores(self, word: str) -> np.ndarray:
-        """Log scores of one lower-cased word, less the greatest; a script that training never saw says nothing."""
-        mask = self.masks.get(script_of(word))
-        if mask is None:
-            return np.zeros(len(self.languages))
-        missing = len(self.table) - 1
-        scores = self.table[[self.row.get(g, missing) for g in grams(word)]].sum(axis=0) + mask
-        return scores - scores.max()
-
-    def label(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Viterbi labels (indices of languages) of the words of each text.
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Log scores of lower-cased words, less each word's greatest; a script that training never saw says nothing."""
+        k = len(self.languages)
+        if not words or not k:
+            return np.zeros((len(words), k))
+        buckets, owners, first = ngrams(words)
+        out = np.stack([np.bincount(owners, weights=self.table[buckets, lang], minlength=len(words)) for lang in range(k)], axis=1)
+        names = scripts_of(first)
+        for name in np.unique(names):
+            some = names == name
+            out[some] = out[some] + self.masks[name] if name in self.masks else 0.0
+        return out - out.max(axis=1, keepdims=True)
+
+    def label(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Viterbi labels (indices of languages) of the words of each text, and each label's probability by its word alone.
 
         All texts advance together, the longest first, so that each step is a few array operations; with one
         penalty for all switches the best predecessor is the same language or the best one of the step before.
         """
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         lengths = [len(texts[i]) for i in order]
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+        out = [(np.zeros(0, np.int64), np.zeros(0))] * len(texts)
         if not lengths or not lengths[0] or not self.languages:
             return out
         k = len(self.languages)
-        flat = np.array([self.cache[w] for i in order for w in texts[i]]).reshape(-1, k)
+        number: dict[str, int] = {}
+        ids = [number.setdefault(w, len(number)) for i in order for w in texts[i]]
+        flat = self.scores(list(number))[ids]
         starts = np.concatenate(([0], np.cumsum(lengths)))
         active = [bisect.bisect_left(lengths, -t, key=lambda n: -n) for t in range(lengths[0])]  # texts longer than t
         best = flat[starts[: active[0]]].copy()
@@ -121,87 +135,89 @@ class LanguageModel:
             if t:
                 now = state[:n]
                 state[:n] = np.where(stay[rows, now], now, top_before[rows])
+        sure = np.exp(flat[np.arange(len(labels)), labels]) / np.exp(flat).sum(axis=1)
         for j, i in enumerate(order):
-            out[i] = labels[starts[j] : starts[j + 1]]
-        self._flat, self._starts, self._order = flat, starts, order
+            out[i] = labels[starts[j] : starts[j + 1]], sure[starts[j] : starts[j + 1]]
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, str]]:
         """Language, score and spans (language:words, comma-joined) of each text."""
         words = [LETTERS.findall(t.lower()) if t else [] for t in texts]
-        labels = self.label(words)
-        where = {i: j for j, i in enumerate(self._order)} if any(map(len, words)) and self.languages else {}
         out = []
-        for i, (w, lab) in enumerate(zip(words, labels)):
-            if not w or not self.languages or not where:
+        for w, (lab, sure) in zip(words, self.label(words)):
+            if not len(lab):
                 out.append((UNDETERMINED, 0.0, ""))
                 continue
             letters = np.fromiter(map(len, w), np.int64, len(w))
             by = np.bincount(lab, weights=letters, minlength=len(self.languages))
             k = int(by.argmax())
-            rows = self._flat[self._starts[where[i]] : self._starts[where[i] + 1]][lab == k]
-            sure = 1.0 / np.exp(rows - rows[:, k : k + 1]).clip(max=1e12).sum(axis=1)
             cuts = np.flatnonzero(np.diff(lab)) + 1
             spans = ",".join(f"{self.languages[lab[s]]}:{e - s}" for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(lab)]))
-            out.append((self.languages[k], round(float(by[k] / letters.sum() * sure.mean()), 6), spans))
+            out.append((self.languages[k], round(float(by[k] / letters.sum() * sure[lab == k].mean()), 6), spans))
         return out
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 1500, max_grams: int = 60_000, min_share: float = 0.01, switch: float = 8.0) -> LanguageModel:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 1500, min_share: float = 0.01, switch: float = 8.0) -> LanguageModel:
     """A model from labelled rows (others are ignored).
 
     sample_docs bounds the sample: at most about so many documents of each language, by a hash of their text.
-    The driver receives at most max_grams rows of counts and one row for each script and language.
+    The driver receives BUCKETS counts for each language and one row for each script and language.
     """
     rows = labelled.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return LanguageModel({}, {}, switch)
+        return LanguageModel([], np.zeros((BUCKETS, 0)), {}, switch)
     share = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(min(1.0, sample_docs / n))) for lang, n in sizes.items()))
     sample = rows.where((F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(float(1 << 20))) < share)
 
     def count(batches):
-        found: dict[str, Counter] = {}
-        words: dict[str, Counter] = {}
         for batch in batches:
             for part in slices(batch):
+                found: dict[str, dict[str, int]] = {}
                 for text, lang in zip(texts_of(part), part.column("lang").to_pylist()):
-                    words.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
-                for lang, seen in words.items():
-                    mine = found.setdefault(lang, Counter())
-                    for word, n in seen.items():
-                        mine["\0" + script_of(word)] += n
-                        for g in grams(word):
-                            mine[g] += n
-                words.clear()
-        for lang, mine in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(mine), pa.string()), pa.array(list(mine), pa.string()), pa.array(list(mine.values()), pa.int64())], names=["lang", "gram", "n"])
-
-    counted = sample.mapInArrow(count, "lang string, gram string, n long").groupBy("gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    kept = counted.orderBy(F.col("gram").startswith("\0").desc(), F.col("total").desc(), "gram").limit(max_grams).collect()
-    counts: dict[str, dict[str, int]] = {}
-    scripts: dict[str, list[str]] = {}
-    for r in kept:
-        by = Counter()
-        for x in r["by"]:
-            by[x["lang"]] += x["n"]
-        if r["gram"][0] == "\0":
-            scripts[r["gram"][1:]] = [lang for lang, n in by.items() if n >= min_share * r["total"]]
-        else:
-            counts[r["gram"]] = dict(by)
-    return LanguageModel(counts, scripts, switch)
+                    seen = found.setdefault(lang, {})
+                    for word in LETTERS.findall(text.lower()):
+                        seen[word] = seen.get(word, 0) + 1
+                for lang, seen in found.items():
+                    if seen:
+                        times = np.fromiter(seen.values(), np.int64, len(seen))
+                        buckets, owners, first = ngrams(list(seen))
+                        counts = np.bincount(buckets, weights=times[owners], minlength=BUCKETS).astype(np.int64)
+                        names = scripts_of(first)
+                        for name in np.unique(names):
+                            yield row(lang, str(name), int(times[names == name].sum()), None)
+                        yield row(lang, None, 0, counts.tobytes())
+
+    def row(lang: str, script: str | None, n: int, counts: bytes | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"lang": lang, "script": script, "n": n, "counts": counts}], schema=fields)
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        total = np.zeros(BUCKETS, np.int64)
+        for counts in table.column("counts").to_pylist():
+            if counts is not None:
+                total += np.frombuffer(counts, np.int64)
+        own = {"lang": key[0].as_py(), "script": key[1].as_py(), "n": sum(table.column("n").to_pylist()), "counts": total.tobytes() if key[1].as_py() is None else None}
+        return pa.Table.from_pylist([own], schema=fields)
+
+    fields = pa.schema([("lang", pa.string()), ("script", pa.string()), ("n", pa.int64()), ("counts", pa.binary())])
+    schema = "lang string, script string, n long, counts binary"
+    rows_of = sample.mapInArrow(count, schema).groupBy("lang", "script").applyInArrow(add, schema).collect()
+    languages = sorted({r["lang"] for r in rows_of if r["script"] is None})
+    if not languages:
+        return LanguageModel([], np.zeros((BUCKETS, 0)), {}, switch)
+    counts = {r["lang"]: np.frombuffer(r["counts"], np.int64) for r in rows_of if r["script"] is None}
+    by_script: dict[str, dict[str, int]] = {}
+    for r in rows_of:
+        if r["script"] is not None:
+            by_script.setdefault(r["script"], {})[r["lang"]] = r["n"]
+    scripts = {s: sorted(lang for lang, n in by.items() if n >= min_share * sum(by.values())) for s, by in by_script.items()}
+    return LanguageModel(languages, np.stack([counts[lang] for lang in languages], axis=1).astype(float), scripts, switch)
 
 
 def _sent(model: LanguageModel, spark: SparkSession):
-    """A function that gives the model on an executor.  Its size is bounded by train()'s max_grams."""
-    sent = spark.sparkContext.broadcast((model.row, model.table, model.masks, model.languages, model.switch))
-
-    def load() -> LanguageModel:
-        own = LanguageModel({}, {})
-        own.row, own.table, own.masks, own.languages, own.switch = sent.value
-        return own
-
-    return load
+    """A function that gives the model on an executor: BUCKETS numbers for each language, whatever the input."""
+    sent = spark.sparkContext.broadcast(model)
+    return lambda: sent.value
 
 
 def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,7 +227,7 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
     def predict(batches):
         own = load()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=TEXT_BYTES):
                 lang, score, spans = zip(*own.predict(texts_of(part)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.string())], names=["doc_id", "lang_pred", "score", "spans"])
 

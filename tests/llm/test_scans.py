@@ -185,14 +185,25 @@ def test_viterbi_is_the_best_path():
     import itertools
 
     rng = random.Random(3)
-    model = language_id.LanguageModel({g: {"aa": rng.randrange(1, 40), "bb": rng.randrange(1, 40), "cc": rng.randrange(1, 40)} for g in "abc"}, {"latin": ["aa", "bb", "cc"]}, switch=1.5)
+    model = language_id.LanguageModel(["aa", "bb", "cc"], np.random.default_rng(3).integers(0, 3, (language_id.BUCKETS, 3)).astype(float), {"latin": ["aa", "bb", "cc"]}, switch=1.5)
     texts = [["".join(rng.choice("abc") for _ in range(2)) for _ in range(rng.randrange(0, 6))] for _ in range(40)]
-    for words, got in zip(texts, model.label(texts)):
-        score = lambda p: sum(model.word_scores(w)[k] for w, k in zip(words, p)) - 1.5 * sum(a != b for a, b in zip(p, p[1:]))  # noqa: B023, E731
+    for words, (got, sure) in zip(texts, model.label(texts)):
+        scores = model.scores(words)
+        score = lambda p: sum(scores[i, k] for i, k in enumerate(p)) - 1.5 * sum(a != b for a, b in zip(p, p[1:]))  # noqa: B023, E731
+        assert ((sure > 0) & (sure <= 1)).all()
         best = max((score(p) for p in itertools.product(range(3), repeat=len(words))), default=0.0)
         assert len(got) == len(words) and abs(score(got.tolist()) - best) < 1e-9
 
 
+def test_ngrams_are_those_of_each_word():
+    words = ["ab", "é", "漢字仮名", "ab"]
+    buckets, owners, first = language_id.ngrams(words)
+    alone = [language_id.ngrams([w])[0] for w in words]
+    assert [sorted(buckets[owners == i].tolist()) for i in range(4)] == [sorted(a.tolist()) for a in alone]
+    assert [len(a) for a in alone] == [2 + 3 + 2, 1 + 2 + 1, 4 + 5 + 4, 7]
+    assert language_id.scripts_of(first).tolist() == ["latin", "latin", "han", "latin"]
+
+
 def test_languages(spark, empty):
     data = [(i, t, lang) for i, (t, lang) in enumerate([("the cat sat on the mat and the dog ran", "en"), ("der hund und die katze sind nicht hier", "de"), ("привет мир как дела сегодня", "ru")] * 4)]
     labelled = spark.createDataFrame(data, "doc_id long, text string, lang string").withColumnRenamed("doc_id", "n")
