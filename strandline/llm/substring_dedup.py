@@ -8,10 +8,12 @@ a factor starts at a window with an earlier address and is as long as the addres
 reference document; it has 13 words or more.  At a factor's boundary each window across it is looked up by
 itself, so that no repeated window is lost between two factors.  The words of all factors are removed.
 
-How the work is dealt: documents go to blocks by a hash of doc_id (one shuffle of the text, used twice).  A block
-sends one packed row to each bucket of hashes; it names each distinct window once, so a passage that a third of all
-documents hold costs a bucket one entry per block.  Buckets answer only where another block has an earlier
-address.  A block or a bucket is about total / (8 x shuffle partitions) or total / shuffle partitions of the windows.
+How the work is dealt: documents go to blocks by a hash of doc_id (one shuffle of the text, used three times).  A
+block sends one packed row to each bucket of hashes; it names each distinct window once, so a passage that a third of
+all documents hold costs a bucket one entry per block.  It first sends 32 bits of each window, and the bucket answers
+with one bit: whether another block has them too.  Only for windows with that bit do hashes and addresses follow, and
+only where another block has an earlier address does an answer come back.  A block or a bucket is about
+total / (8 x shuffle partitions) or total / shuffle partitions of the windows.
 
 Defined results: null text counts as empty: 0 words, kept_sha256 of the empty string; a document with fewer than
 13 words has no window; rows with the same doc_id count as one document, so that they remove nothing from one
@@ -76,6 +78,46 @@ class Block:
         return order[new]
 
 
+def _by_bucket(block: Block, n_buckets: int):
+    """(bucket, indices, 32-bit prints) of the block's distinct windows; a bucket is a range of first hashes."""
+    first = block.firsts()
+    h1 = block.h1[first]
+    bounds = np.searchsorted(h1, (np.arange(1, n_buckets, dtype=np.float64) * (2.0**64 / n_buckets)).astype(np.uint64)) if n_buckets > 1 else []
+    cuts = np.concatenate(([0], bounds, [len(h1)])).astype(np.int64)
+    for k in np.flatnonzero(np.diff(cuts)):
+        yield int(k), first[cuts[k] : cuts[k + 1]], (h1[cuts[k] : cuts[k + 1]] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def _within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is among the sorted known ones."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(known, values)
+    at[at == len(known)] = 0
+    return known[at] == values
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Differences of consecutive values, compressed; the number of bytes stands first."""
+    raw = np.diff(values, prepend=values.dtype.type(0)).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes, dtype: type) -> np.ndarray:
+    return np.cumsum(np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True), dtype), dtype=dtype)
+
+
+def _windows(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Hashes and addresses of all rows of packed windows."""
+    hashes = [np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("h1", np.uint64), ("h2", np.uint32))]
+    addresses = [np.concatenate([np.zeros(0, t), *(_unpacked(x, t) for x in table.column(c).to_pylist())]) for c, t in (("doc", np.int64), ("pos", np.uint32))]
+    return *hashes, *addresses
+
+
+def _table(columns: dict[str, list], schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
 def earliest(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each entry the earliest address among the entries with its hashes."""
     order = np.argsort(h1, kind="stable")
@@ -124,43 +166,64 @@ def substring_dedup(df: DataFrame, width: int = WINDOW, id_col: str = "doc_id",
     rows = id_text(df, id_col, text_col)
     docs = rows.select("doc_id", F.col("text").cast("binary").alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int").alias("block")).repartition(n, "block")
 
+    offered = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("prints", pa.binary())])
+    shared = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
     asked = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("h1", pa.binary()), ("h2", pa.binary()), ("doc", pa.binary()), ("pos", pa.binary())])
     told = pa.schema([("block", pa.int32()), ("h1", pa.binary()), ("h2", pa.binary()), ("doc", pa.binary()), ("pos", pa.binary())])
 
-    def ask(key: tuple, group: pa.Table) -> pa.Table:
-        block = Block(group.column("doc_id").to_pylist(), group.column("text").to_pylist(), width)
-        first = block.firsts()
-        h1 = block.h1[first]  # ascending, so a bucket is a range
-        bounds = np.searchsorted(h1, (np.arange(1, n_buckets, dtype=np.float64) * (2.0**64 / n_buckets)).astype(np.uint64)) if n_buckets > 1 else np.zeros(0, np.int64)
-        cuts = np.concatenate(([0], bounds, [len(h1)]))
-        out = {name: [] for name in asked.names}
-        for k in np.flatnonzero(np.diff(cuts)):
-            some = first[cuts[k] : cuts[k + 1]]
-            # in order of address, which compresses well; a document's id is that of the block's row
-            some = np.sort(some)
-            for name, value in zip(asked.names, (int(k), key[0].as_py(), block.h1[some].tobytes(), block.h2[some].tobytes(), block.doc[some].tobytes(), block.pos[some].tobytes())):
+    def opened(group: pa.Table) -> Block:
+        return Block(group.column("doc_id").to_pylist(), group.column("text").to_pylist(), width)
+
+    def offer(key: tuple, group: pa.Table) -> pa.Table:
+        out = {name: [] for name in offered.names}
+        for k, _, prints in _by_bucket(opened(group), n_buckets):
+            for name, value in zip(offered.names, (k, key[0].as_py(), _packed(np.unique(prints)))):
                 out[name].append(value)
-        return pa.table([pa.array(out[f.name], f.type) for f in asked], schema=asked)
+        return _table(out, offered)
+
+    def meet(key: tuple, group: pa.Table) -> pa.Table:
+        own = [_unpacked(x, np.uint32) for x in group.column("prints").to_pylist()]
+        found, n = np.unique(np.concatenate(own), return_counts=True)
+        twice = found[n > 1]
+        out = {name: [] for name in shared.names}
+        for block, prints in zip(group.column("block").to_pylist(), own):
+            bits = _within(prints, twice)
+            if bits.any():
+                for name, value in zip(shared.names, (block, key[0].as_py(), np.packbits(bits).tobytes())):
+                    out[name].append(value)
+        return _table(out, shared)
 
-    def unpacked(table: pa.Table, sizes: list[int] | None = None) -> tuple[np.ndarray, ...]:
-        return tuple(np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("h1", np.uint64), ("h2", np.uint32), ("doc", np.int64), ("pos", np.uint32)))
+    def ask(key: tuple, group: pa.Table, bits: pa.Table) -> pa.Table:
+        out = {name: [] for name in asked.names}
+        if group.num_rows and bits.num_rows:
+            block = opened(group)
+            known = dict(zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist()))
+            number = group.column("block")[0].as_py()
+            for k, some, prints in _by_bucket(block, n_buckets):
+                if k in known:
+                    own = np.unique(prints)
+                    own = own[np.unpackbits(np.frombuffer(known[k], np.uint8), count=len(own)).astype(bool)]
+                    some = np.sort(some[_within(prints, own)])  # in order of address, which packs well
+                    for name, value in zip(asked.names, (k, number, block.h1[some].tobytes(), block.h2[some].tobytes(), _packed(block.doc[some]), _packed(block.pos[some]))):
+                        out[name].append(value)
+        return _table(out, asked)
 
     def answer(group: pa.Table) -> pa.Table:
-        h1, h2, doc, pos = unpacked(group)
+        h1, h2, doc, pos = _windows(group)
         first_doc, first_pos = earliest(h1, h2, doc, pos)
         ends = np.cumsum([len(x) // 8 for x in group.column("h1").to_pylist()])
         out = {name: [] for name in told.names}
         for block, start, end in zip(group.column("block").to_pylist(), [0, *ends[:-1]], ends):
             other = start + np.flatnonzero(first_doc[start:end] < doc[start:end])
             if len(other):
-                for name, value in zip(told.names, (block, h1[other].tobytes(), h2[other].tobytes(), first_doc[other].tobytes(), first_pos[other].tobytes())):
+                for name, value in zip(told.names, (block, h1[other].tobytes(), h2[other].tobytes(), _packed(first_doc[other]), _packed(first_pos[other]))):
                     out[name].append(value)
-        return pa.table([pa.array(out[f.name], f.type) for f in told], schema=told)
+        return _table(out, told)
 
     def remove(docs_of: pa.Table, answers: pa.Table) -> pa.Table:
-        ids = docs_of.column("doc_id").to_pylist()
-        block = Block(ids, docs_of.column("text").to_pylist(), width)
-        h1, h2, doc, pos = unpacked(answers)
+        block = opened(docs_of)
+        ids = block.ids
+        h1, h2, doc, pos = _windows(answers)
         if len(block.h1):
             first_doc, first_pos = earliest(np.concatenate((block.h1, h1)), np.concatenate((block.h2, h2)), np.concatenate((block.doc, doc)), np.concatenate((block.pos, pos)))
         out = {"doc_id": ids, "n_words": [], "n_removed": [], "n_factors": [], "kept": []}
@@ -173,6 +236,8 @@ def substring_dedup(df: DataFrame, width: int = WINDOW, id_col: str = "doc_id",
             out["kept"].append(b" ".join(words if not factors else [w for w, gone in zip(words, removed.tolist()) if not gone]))
         return pa.table([pa.array(out["doc_id"], pa.int64()), *(pa.array(out[c], pa.int64()) for c in ("n_words", "n_removed", "n_factors")), pa.array(out["kept"], pa.binary())], names=list(out))
 
-    requests = docs.groupBy("block").applyInArrow(ask, "bucket int, block int, h1 binary, h2 binary, doc binary, pos binary")
+    prints = docs.groupBy("block").applyInArrow(offer, "bucket int, block int, prints binary").repartition(n_buckets, "bucket")
+    bits = prints.groupBy("bucket").applyInArrow(meet, "block int, bucket int, bits binary")
+    requests = docs.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(ask, "bucket int, block int, h1 binary, h2 binary, doc binary, pos binary")
     answers = requests.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(answer, "block int, h1 binary, h2 binary, doc binary, pos binary")
     return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, n_factors long, kept binary")
