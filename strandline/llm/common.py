@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -80,14 +81,17 @@ def _forget_all() -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it again.
 
-    The files survive lost executors.  They go when the returned DataFrame (and what keeps it) is
-    collected as garbage through `forget`, or at the end of the session.
+    The files survive lost executors.  They go by drop_written, or at the end of the session.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written[path] = spark
-    out = spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    gc.collect()  # what is collected as garbage on the driver lets go of its shuffle files
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(schema).parquet(path)
     out._strandline_path = path
     return out
 

@@ -11,12 +11,14 @@ documents link when 100 * intersection >= percent * union.
   whole.  Within a block pair the bounds by position (shingles before and after it) and by bitmap (its Hamming
   distance never exceeds the sets' symmetric difference) reject pairs without their sets.
 * Answer-level skipping: a set linked to another one takes over its component, and pairs within a component are not
-  looked at again.  The first rounds verify only a spanning forest of each list's candidates, most alike first; the last
-  round verifies every candidate pair between different components that is left.
+  looked at again.  The first rounds verify only a spanning forest of each longer list's candidates, most alike first.
+  A list whose forest holds has all its candidates in one component each, and is done.  The last round verifies every
+  candidate pair between different components of the lists that are left.
 
 So each link is either verified or lies within a component already, and the components are exact.  A list longer than
 `chunk` is dealt by a hash of the set in the first rounds and as a grid of chunk pairs in the last one, so that no
-task gets an unbounded list.  The sketch has a fixed size, whatever the input.
+task gets an unbounded list.  The sketch and the filter that spares most sets the way to their verification have a
+fixed size, whatever the input.
 
 Defined results: null or wordless texts have an empty set and link with nothing; a null id has a null component and
 lends no id to a component; rows with one doc_id each give a row, and their sets join by themselves; an empty table
@@ -40,6 +42,8 @@ CELLS, RANGES = 1 << 20, 16
 #: Lists of at most so many entries are compared pair by pair for many lists at once.
 SMALL = 8
 BLOCK = 256
+#: Bits, as a power of two, of the filter of keys whose sets are wanted, and how many bits a key has.
+FILTER, FILTER_HASHES = 25, 3
 
 
 def shingle_set(text: bytes | None, k: int) -> np.ndarray:
@@ -113,13 +117,13 @@ class Lists:
     def distance(x: dict, i, j) -> np.ndarray:
         return np.bitwise_count(x["bits"][i] ^ x["bits"][j]).sum(axis=-1).astype(np.int64)
 
-    def pairs(self, x: dict) -> tuple[np.ndarray, np.ndarray]:
-        """Indices of candidate pairs of all lists in x, whose rows are sorted by list, then size."""
+    def pairs(self, x: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Indices of candidate pairs of all lists in x, whose rows are sorted by list, then size; and whether a list's pairs are all there."""
         key = x["list"]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
         small = np.repeat(sizes <= SMALL, sizes)
-        left, right = [], []
+        left, right, whole = [np.zeros(0, int)], [np.zeros(0, int)], 0
         for d in range(1, SMALL):
             i = np.flatnonzero((key[:-d] == key[d:]) & small[:-d]) if len(key) > d else np.zeros(0, int)
             if not len(i):
@@ -127,6 +131,7 @@ class Lists:
             keep = self.bound(x, i, i + d)
             left.append(i[keep])
             right.append(i[keep] + d)
+            whole += len(left[-1])
         for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
             comp = x["comp"][start : start + size]
             if (comp == comp[0]).all():
@@ -134,7 +139,8 @@ class Lists:
             i, j = (self._forest if self.forest else self._blocks)(x, int(start), int(size))
             left.append(i)
             right.append(j)
-        return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
+        left, right = np.concatenate(left), np.concatenate(right)
+        return left, right, np.arange(len(left)) < whole
 
     def _blocks(self, x: dict, start: int, size: int) -> tuple[np.ndarray, np.ndarray]:
         left, right = [], []
@@ -187,7 +193,7 @@ class Lists:
 
 
 def _candidates(shared: DataFrame, comps: DataFrame | None, percent: int, forest: bool, chunk: int, turn: int) -> DataFrame:
-    """a < b: distinct candidate pairs of classes in different components."""
+    """tok, a < b: candidate pairs of classes in different components; tok is null where all of the list's pairs are there."""
     n = parallelism(shared.sparkSession)
     rows = shared.withColumn("comp", F.col("rep")) if comps is None else shared.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component_id", "rep")).drop("component_id")
     short = rows.where(F.col("m") <= chunk).select("tok", "rep", "n", "pos", "bits", "comp", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
@@ -202,7 +208,7 @@ def _candidates(shared: DataFrame, comps: DataFrame | None, percent: int, forest
         long = long.join(open_, "tok").withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), spread - 1)))
         long = long.select("tok", "rep", "n", "pos", "bits", "comp", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), F.when(F.col("own") > F.col("o"), 1).otherwise(0).alias("side"))
     dealt = short.union(long).repartition(n, "tok", "i", "j").sortWithinPartitions("tok", "i", "j", "n", "rep")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("tok", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
     def find(batches):
         lists = Lists(percent, forest)
@@ -217,10 +223,9 @@ def _candidates(shared: DataFrame, comps: DataFrame | None, percent: int, forest
             for c in ("n", "pos"):
                 x[c] = x[c].astype(np.int64)
             x["bits"] = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, 4)
-            left, right = lists.pairs(x)
+            left, right, whole = lists.pairs(x)
             a, b = x["rep"][left], x["rep"][right]
-            pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(x["tok"][left], mask=whole), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
 
         def cut(table: pa.Table) -> int:
             """Where the last list of a table begins."""
@@ -242,7 +247,7 @@ def _candidates(shared: DataFrame, comps: DataFrame | None, percent: int, forest
         if held:
             yield done(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(find, "a long, b long").distinct()
+    return dealt.mapInArrow(find, "tok long, a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -262,6 +267,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_sets.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
+def _members(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """rep, set of the wanted classes, from the texts; a filter of fixed size keeps most other sets from being sent."""
+    mask = (1 << FILTER) - 1
+    at = F.explode(F.array(*(F.shiftrightunsigned("k1", 64 // FILTER_HASHES * i).bitwiseAND(mask) for i in range(FILTER_HASHES))))
+    words = wanted.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    found = words.toArrow()
+    table = np.zeros(1 << FILTER - 6, np.int64)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    sent = rows.sparkSession.sparkContext.broadcast(table)
+
+    def some_sets(batches):
+        bits = sent.value.view(np.uint64)
+        for batch in batches:
+            for part in slices(batch):
+                out: tuple[list, list, list] = ([], [], [])
+                for text in bytes_of(part):
+                    s = shingle_set(text, k)
+                    if not len(s):
+                        continue
+                    k1, k2 = set_key(s)
+                    places = [(k1 & (1 << 64) - 1) >> 64 // FILTER_HASHES * i & mask for i in range(FILTER_HASHES)]
+                    if all(int(bits[p >> 6]) >> (p & 63) & 1 for p in places):
+                        for column, value in zip(out, (k1, k2, s.tobytes())):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.binary()))], names=["k1", "k2", "set"])
+
+    found = rows.select("text").mapInArrow(some_sets, "k1 long, k2 long, set binary").join(wanted, ["k1", "k2"])
+    return found.groupBy("rep").agg(F.first("set").alias("set"))
+
+
 def jaccard_components(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) of every row."""
     spark = df.sparkSession
@@ -283,39 +318,34 @@ def jaccard_components(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT,
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(v, t) for v, t in zip(out.values(), types))], names=["doc_id", *out])
 
-    base = written(rows.mapInArrow(describe, "doc_id long, k1 long, k2 long, n long, bits binary, prefix array<long>"), "sets")
-    classes = base.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    entries = classes.select("rep", F.col("n").cast("int").alias("n"), "bits", F.posexplode("prefix").alias("pos", "tok"))
-    frequent = classes.select(F.explode("prefix").alias("tok")).groupBy("tok").agg(F.count("*").alias("m")).where("m > 1")
-    shared = written(entries.join(frequent, "tok"), "lists")
-
-    def all_sets(batches):
-        for batch in batches:
-            for part in slices(batch):
-                sets = [shingle_set(t, k) for t in bytes_of(part)]
-                keys = [set_key(s) if len(s) else (None, None) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["k1", "k2", "set"])
+    described = written(rows.mapInArrow(describe, "doc_id long, k1 long, k2 long, n long, bits binary, prefix array<long>"), "sets")
+    heavy = described.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    heavy = written(heavy.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    base = written(described.select("doc_id", "n", "k1", "k2"), "keys")
+    drop_written(described)
+    frequent = heavy.select(F.explode("prefix").alias("tok")).groupBy("tok").agg(F.count("*").alias("m")).where("m > 1")
+    entries = heavy.select("rep", F.posexplode("prefix").alias("pos", "tok")).join(frequent, "tok")
+    shared = written(entries.join(heavy.select("rep", F.col("n").cast("int").alias("n"), "bits"), "rep"), "lists")
+    classes = written(heavy.select("rep", "k1", "k2", "least"), "classes")
+    drop_written(heavy)
 
     links = sets = comps = None
+    left = shared
     for turn, forest in enumerate((True, True, False)):
-        pairs = written(_candidates(shared, comps, percent, forest, chunk, turn), "pairs")
+        pairs = written(_candidates(left, comps, percent, forest, chunk, turn), "pairs")
         if sets is None:
             # whoever has a candidate is in some list's forest; members of dealt lists may be met later
             involved = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(shared.where(F.col("m") > chunk).select("rep")).distinct()
-            wanted = classes.select("rep", "k1", "k2").join(involved, "rep")
-            found = rows.select("text").mapInArrow(all_sets, "k1 long, k2 long, set binary").join(wanted, ["k1", "k2"])
-            sets = written(found.groupBy("rep").agg(F.first("set").alias("set")), "members")
-        elif pairs.isEmpty() and shared.where(F.col("m") > chunk).isEmpty():
-            drop_written(pairs)
-            break
-        new = written(_verified(pairs, sets, percent), "links")
-        drop_written(pairs)
+            sets = written(_members(rows, classes.join(involved, "rep").select("rep", "k1", "k2"), k), "members")
+        new = written(_verified(pairs.select("a", "b").distinct(), sets, percent), "links")
         links = new if links is None else links.union(new)
-        if not (turn and new.isEmpty()):
-            comps = written(components(links), "components")
-    drop_written(shared)
-    drop_written(sets)
+        comps = written(components(links), "components")
+        failed = pairs.where("tok is not null").join(new, ["a", "b"], "left_anti").select("tok").distinct()
+        still = shared.where(F.col("m") > SMALL).join(failed.withColumn("open", F.lit(True)), "tok", "left").where(F.col("open") | (F.col("m") > chunk)).drop("open")
+        left = written(still, "lists")
+        drop_written(pairs)
+        if left.isEmpty():
+            break
 
     group = classes.select("rep", "k1", "k2", "least").join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("group", F.coalesce("component_id", "rep")).drop("component_id")
     names = group.groupBy("group").agg(F.min("least").alias("component_id"))
