@@ -336,7 +336,7 @@ def jaccard_components(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT,
         if sets is None:
             # whoever has a candidate is in some list's forest; members of dealt lists may be met later
             involved = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(shared.where(F.col("m") > chunk).select("rep")).distinct()
-            sets = written(_members(rows, classes.join(involved, "rep").select("rep", "k1", "k2"), k), "members")
+            sets = written(_members(rows, classes.join(involved, "rep").select("rep", "k1", "k2"), k), "members", (parallelism(spark), "rep"))
         new = written(_verified(pairs.select("a", "b").distinct(), sets, percent), "links")
         links = new if links is None else links.union(new)
         comps = written(components(links), "components")
