@@ -13,7 +13,7 @@ block sends one packed row to each bucket of hashes; it names each distinct wind
 all documents hold costs a bucket one entry per block.  It first sends 32 bits of each window, and the bucket answers
 with one bit: whether another block has them too.  Only for windows with that bit do hashes and addresses follow, and
 only where another block has an earlier address does an answer come back.  A block or a bucket is about
-total / (8 x shuffle partitions) or total / shuffle partitions of the windows.
+total / (4 x shuffle partitions) or total / shuffle partitions of the windows.
 
 Defined results: null text counts as empty: 0 words, kept_sha256 of the empty string; a document with fewer than
 13 words has no window; rows with the same doc_id count as one document, so that they remove nothing from one
@@ -158,11 +158,11 @@ def parsed(doc_id: int, first_doc: np.ndarray, first_pos: np.ndarray, n_words: i
 def substring_dedup(df: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None, buckets: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, n_factors, kept (bytes of the words that stay, joined by one blank) of every row.
 
-    blocks, buckets: into how many parts documents and hashes are dealt; 8 times and once the shuffle partitions by default.
+    blocks, buckets: into how many parts documents and hashes are dealt; 4 times and once the shuffle partitions by default.
     """
     spark = df.sparkSession
     n = parallelism(spark)
-    n_blocks, n_buckets = blocks or 8 * n, buckets or n
+    n_blocks, n_buckets = blocks or 4 * n, buckets or n
     rows = id_text(df, id_col, text_col)
     docs = rows.select("doc_id", F.col("text").cast("binary").alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int").alias("block")).repartition(n, "block")
 
