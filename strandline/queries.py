@@ -342,8 +342,8 @@ def m7_false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {JUDGED}, tl AS (SELECT lang, n_chars AS threshold, count(*) FILTER (WHERE pos) AS p0, count(*) FILTER (WHERE NOT pos) AS n0 FROM d GROUP BY 1, 2),
-cl AS (SELECT lang, sum(p0) OVER w AS tp, sum(n0) OVER w AS fp, sum(p0) OVER (PARTITION BY lang) AS p FROM tl WINDOW w AS (PARTITION BY lang ORDER BY threshold DESC)),
-b AS (SELECT lang, max(2 * (tp / (tp + fp)) * (tp / p) / (tp / (tp + fp) + tp / p + 1e-12)) AS f1 FROM cl GROUP BY lang)
+cl AS (SELECT lang, sum(p0) OVER w AS tp, sum(n0) OVER w AS fp, sum(p0) OVER (PARTITION BY lang) AS p, sum(n0) OVER (PARTITION BY lang) AS n FROM tl WINDOW w AS (PARTITION BY lang ORDER BY threshold DESC)),
+b AS (SELECT lang, max(2 * (tp / (tp + fp)) * (tp / p) / (tp / (tp + fp) + tp / p + 1e-12)) FILTER (WHERE p > 0 AND n > 0) AS f1 FROM cl GROUP BY lang)
 SELECT label, CASE WHEN label = 'BM25' THEN (SELECT round_even(f1, 3) FROM b WHERE lang = 'en') END AS "Krapivin paraphrase", CASE WHEN label = 'BM25' THEN (SELECT round_even(f1, 3) FROM b WHERE lang = 'fr') END AS "PAR3 translation",
   CASE WHEN label = 'BM25' THEN (SELECT round_even(f1, 3) FROM b WHERE lang = 'de') END AS "CASIMIR revision" FROM (VALUES {", ".join(f"('{label}')" for label, _, _ in report.ROWS)}) AS v(label)""")
 def m8_result_table(spark: SparkSession, sf_dir: str) -> DataFrame:
