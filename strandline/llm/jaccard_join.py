@@ -54,9 +54,24 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """256 parity bits of a set."""
-    return np.packbits(np.bincount((s >> np.uint64(40)).astype(np.int64) & 255, minlength=256) & 1).tobytes()
+def bitmap(s: np.ndarray, width: int = 256) -> bytes:
+    """Parity bits of a set."""
+    return np.packbits(np.bincount((s >> np.uint64(20)).astype(np.int64) & width - 1, minlength=width) & 1).tobytes()
+
+
+def long_bitmap(s: np.ndarray) -> bytes:
+    """Parity bits, as many as the set has members, rounded up to a power of two."""
+    return bitmap(s, max(256, 1 << (len(s) - 1).bit_length()))
+
+
+def least_apart(a: bytes, b: bytes) -> int:
+    """A lower bound of two sets' symmetric difference by their long bitmaps; the longer one is folded to the shorter one."""
+    x, y = (np.frombuffer(v, np.uint8) for v in (a, b))
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def set_key(s: np.ndarray) -> tuple[int, int]:
@@ -250,6 +265,21 @@ def _candidates(shared: DataFrame, comps: DataFrame | None, percent: int, forest
     return dealt.mapInArrow(find, "tok long, a long, b long").distinct()
 
 
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs that their long bitmaps allow to link; a bitmap has one bit where the set has 64."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def sift(batches):
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y"))):
+                keep.append(n + m - least_apart(x, y) >= 2 * needed(n, m, percent))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=schema).filter(pa.array(keep, pa.bool_()))
+
+    own = pairs.join(classes.select(F.col("rep").alias("a"), "n", F.col("long").alias("x")), "a").join(classes.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("long").alias("y")), "b")
+    return own.select("a", "b", "n", "m", "x", "y").mapInArrow(sift, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs whose sets link."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -307,43 +337,47 @@ def jaccard_components(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT,
         counts = order.value
         for batch in batches:
             for part in slices(batch):
-                out: dict[str, list] = {c: [] for c in ("k1", "k2", "n", "bits", "prefix")}
+                out: dict[str, list] = {c: [] for c in ("k1", "k2", "n", "bits", "long", "prefix")}
                 for text in bytes_of(part):
                     s = shingle_set(text, k)
                     n = len(s)
                     key = set_key(s) if n else (None, None)
                     first = s[np.lexsort((s, counts[(s & np.uint64(CELLS - 1)).astype(np.int64)]))][: prefix_length(n, percent)] if n else s
-                    for c, v in zip(out, (*key, n, bitmap(s), first.view(np.int64))):
+                    for c, v in zip(out, (*key, n, bitmap(s), long_bitmap(s), first.view(np.int64))):
                         out[c].append(v)
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(v, t) for v, t in zip(out.values(), types))], names=["doc_id", *out])
 
-    described = written(rows.mapInArrow(describe, "doc_id long, k1 long, k2 long, n long, bits binary, prefix array<long>"), "sets")
-    heavy = described.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    described = written(rows.mapInArrow(describe, "doc_id long, k1 long, k2 long, n long, bits binary, long binary, prefix array<long>"), "sets")
+    heavy = described.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits"), F.first("long").alias("long"), F.first("prefix").alias("prefix"))
     heavy = written(heavy.withColumn("rep", F.monotonically_increasing_id()), "classes")
     base = written(described.select("doc_id", "n", "k1", "k2"), "keys")
     drop_written(described)
     frequent = heavy.select(F.explode("prefix").alias("tok")).groupBy("tok").agg(F.count("*").alias("m")).where("m > 1")
     entries = heavy.select("rep", F.posexplode("prefix").alias("pos", "tok")).join(frequent, "tok")
     shared = written(entries.join(heavy.select("rep", F.col("n").cast("int").alias("n"), "bits"), "rep"), "lists")
-    classes = written(heavy.select("rep", "k1", "k2", "least"), "classes")
+    classes = written(heavy.select("rep", "k1", "k2", "least", "n", "long"), "classes", (parallelism(spark), "rep"))
     drop_written(heavy)
 
     links = sets = comps = None
     left = shared
     for turn, forest in enumerate((True, True, False)):
         pairs = written(_candidates(left, comps, percent, forest, chunk, turn), "pairs")
-        if sets is None:
-            # whoever has a candidate is in some list's forest; members of dealt lists may be met later
-            involved = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(shared.where(F.col("m") > chunk).select("rep")).distinct()
-            sets = written(_members(rows, classes.join(involved, "rep").select("rep", "k1", "k2"), k), "members", (parallelism(spark), "rep"))
-        new = written(_verified(pairs.select("a", "b").distinct(), sets, percent), "links")
+        likely = written(_likely(pairs.select("a", "b").distinct(), classes, percent), "pairs")
+        involved = written(likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct(), "involved")
+        missing = involved if sets is None else written(involved.join(sets.select("rep"), "rep", "left_anti"), "missing")
+        if sets is None or not missing.isEmpty():
+            more = written(_members(rows, classes.join(missing, "rep").select("rep", "k1", "k2"), k), "members", (parallelism(spark), "rep"))
+            sets = more if sets is None else sets.union(more)
+        # later rounds have few pairs, so what they need of the sets is small
+        new = written(_verified(likely, sets.join(involved, "rep", "left_semi") if turn else sets, percent), "links")
         links = new if links is None else links.union(new)
         comps = written(components(links), "components")
         failed = pairs.where("tok is not null").join(new, ["a", "b"], "left_anti").select("tok").distinct()
         still = shared.where(F.col("m") > SMALL).join(failed.withColumn("open", F.lit(True)), "tok", "left").where(F.col("open") | (F.col("m") > chunk)).drop("open")
         left = written(still, "lists")
         drop_written(pairs)
+        drop_written(likely)
         if left.isEmpty():
             break
 
