@@ -15,6 +15,7 @@ from strandline.operators import lexical_pairs, matching, near_duplicates, split
 from strandline.operators.components import components
 from strandline.plans import evaluation, report, translations, variation, versions
 from strandline.sources import tables
+from strandline.storage import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -247,7 +248,7 @@ pr AS (SELECT ov.a, ov.b, k / (x.n + y.n - k) AS jaccard FROM ov JOIN sz x ON x.
 @query(f"WITH {PAIRS} SELECT a, b, round(jaccard, 9) AS jaccard FROM pr")
 def j12_near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus(spark, sf_dir).select(F.col("doc_id").alias("forum_id"), "text")
-    pairs = near_duplicates.near_duplicate_pairs(near_duplicates.written(near_duplicates.shingle_rows(docs), "shingles"))
+    pairs = near_duplicates.near_duplicate_pairs(written(near_duplicates.shingle_rows(docs), "shingles"))
     return pairs.withColumn("jaccard", F.round("jaccard", 9))
 
 
@@ -353,7 +354,7 @@ def m8_result_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = F.create_map(*(F.lit(x) for k, (_, v) in report.DATASETS.items() for x in (k, "|".join(v))))
     runs = best.withColumn("dataset", F.try_element_at(name, F.col("lang"))).where("dataset is not null")
     runs = runs.select("dataset", F.lit("bm25").alias("method"), F.try_element_at(wanted, F.col("dataset")).alias("variant_sets"), F.lit(False).alias("inclorig"), F.lit("r").alias("run_ident"), F.lit("default").alias("run_tag"), "best_f1")
-    return report.result_table(near_duplicates.written(runs, "runs"), "best_f1")
+    return report.result_table(written(runs, "runs"), "best_f1")
 
 
 # ---- dataset building ---------------------------------------------------------------------------------------
@@ -514,7 +515,7 @@ def p29_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def run_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Split, query sets, BM25, evaluation in one lazy plan up to the sweep: one row of metrics."""
+    """Split, query sets, BM25 and evaluation: one row of metrics."""
     s = split.query_sets(*_families(spark, sf_dir))
     matches = matching.bm25_matches(s.reference, s.queries, ascii_only=True)
     row = evaluation.sweep(evaluation.curve(evaluation.scored(evaluation.manifest(s.positive, s.benign), matches)))

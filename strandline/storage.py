@@ -40,24 +40,33 @@ def _delete_all() -> None:
             return
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet in the shared folder, read again: the files outlive lost executors.  drop_written deletes them."""
+def written(df: DataFrame, name: str, buckets: tuple[int, str] | None = None) -> DataFrame:
+    """df as Parquet in the shared folder, read again: the files outlive lost executors.  drop_written deletes them.
+
+    buckets: number and column by which the files are dealt, so that joins on that column needn't shuffle them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    table = f"strandline_{uuid.uuid4().hex}" if buckets else None
+    if buckets:
+        df.write.bucketBy(*buckets).sortBy(buckets[1]).option("path", path).format("parquet").saveAsTable(table)
+    else:
+        df.write.parquet(path)
     _written[path] = spark
     schema = df.schema
     del df
     gc.collect()  # what is collected as garbage on the driver lets go of its shuffle files
     spark.sparkContext._jvm.System.gc()
-    out = spark.read.schema(schema).parquet(path)
-    out._strandline_path = path
+    out = spark.table(table) if buckets else spark.read.schema(schema).parquet(path)
+    out._strandline_path, out._strandline_table = path, table
     return out
 
 
 def drop_written(df: DataFrame) -> None:
     path = getattr(df, "_strandline_path", None)
     if path:
+        if df._strandline_table:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._strandline_table}")
         _delete(df.sparkSession, path)
 
 
