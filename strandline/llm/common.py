@@ -1,16 +1,10 @@
-"""Helpers shared by the operators: reading two columns of any table, and shared-folder tables."""
+"""Helpers shared by the operators: reading two columns of any table, slices of batches, bounded caches."""
 
 from __future__ import annotations
 
-import atexit
-import gc
-import os
-import tempfile
-import uuid
-
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Arrow batches are cut to about this many bytes of text before Python objects are made of them.
@@ -46,70 +40,6 @@ def bytes_of(batch: pa.RecordBatch, text_col: str = "text") -> list[bytes | None
     return batch.column(text_col).cast(pa.binary()).to_pylist()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it.  A local one is set only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        at = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = at.get() if at.isDefined() else None
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), "strandline-shared")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-_written: dict[str, SparkSession] = {}
-
-
-def forget(spark: SparkSession, path: str) -> None:
-    """Delete a table made by `written`, once nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    _written.pop(path, None)
-
-
-@atexit.register
-def _forget_all() -> None:
-    for path, spark in list(_written.items()):
-        try:
-            forget(spark, path)
-        except Exception:  # noqa: BLE001  the session has ended; the folder is the cluster's to empty
-            return
-
-
-def written(df: DataFrame, name: str, buckets: tuple[int, str] | None = None) -> DataFrame:
-    """Cut lineage: write df as Parquet in the shared folder and read it again.
-
-    buckets: number and column by which the files are dealt, so that joins on that column needn't shuffle them again.
-
-    The files survive lost executors.  They go by drop_written, or at the end of the session.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    table = f"strandline_{uuid.uuid4().hex}" if buckets else None
-    if buckets:
-        df.write.bucketBy(*buckets).sortBy(buckets[1]).option("path", path).format("parquet").saveAsTable(table)
-    else:
-        df.write.parquet(path)
-    _written[path] = spark
-    schema = df.schema
-    del df
-    gc.collect()  # what is collected as garbage on the driver lets go of its shuffle files
-    spark.sparkContext._jvm.System.gc()
-    out = spark.table(table) if buckets else spark.read.schema(schema).parquet(path)
-    out._strandline_path, out._strandline_table = path, table
-    return out
-
-
-def drop_written(df: DataFrame) -> None:
-    path = getattr(df, "_strandline_path", None)
-    if path:
-        if df._strandline_table:
-            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._strandline_table}")
-        forget(df.sparkSession, path)
-
-
 class Bounded(dict):
     """A cache that computes missing entries and starts anew when it is full."""
 
@@ -122,8 +52,3 @@ class Bounded(dict):
             self.clear()
         value = self[key] = self._make(key)
         return value
-
-
-def parallelism(spark: SparkSession) -> int:
-    """Number of shuffle partitions, at least one for each core."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import parallelism, written
-from strandline.llm.components import components
+from strandline.operators.components import components
+from strandline.storage import parallelism, written
+
 
 THRESHOLD = 0.93
 TREES, LEAF, CELL = 8, 256, 4096

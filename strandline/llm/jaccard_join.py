@@ -32,9 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import bytes_of, drop_written, id_text, parallelism, slices, written
-from strandline.llm.components import components
+from strandline.llm.common import bytes_of, id_text, slices
 from strandline.llm.shingles import shingle_hashes
+from strandline.operators.components import components
+from strandline.storage import drop_written, parallelism, written
 
 SHINGLE, PERCENT, CHUNK = 5, 80, 4096
 #: Cells of the sketch of shingle counts, and the ranges in which it is summed.
@@ -374,7 +375,7 @@ def jaccard_components(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT,
         links = new if links is None else links.union(new)
         comps = written(components(links), "components")
         failed = pairs.where("tok is not null").join(new, ["a", "b"], "left_anti").select("tok").distinct()
-        still = shared.where(F.col("m") > SMALL).join(failed.withColumn("open", F.lit(True)), "tok", "left").where(F.col("open") | (F.col("m") > chunk)).drop("open")
+        still = shared.where(F.col("m") > min(SMALL, chunk)).join(failed.withColumn("open", F.lit(True)), "tok", "left").where(F.col("open") | (F.col("m") > chunk)).drop("open")
         left = written(still, "lists")
         drop_written(pairs)
         drop_written(likely)

@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import id_text, parallelism
+from strandline.llm.common import id_text
 from strandline.llm.shingles import mixed
+from strandline.storage import parallelism
 
 WINDOW = 13
 _FAR = np.iinfo(np.int64).max

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import components, decontamination, embedding_dedup, jaccard_join, preference_format, substring_dedup
+from strandline.llm import decontamination, embedding_dedup, jaccard_join, preference_format, substring_dedup
 from tests.llm.conftest import ODD
 
 
@@ -175,12 +175,6 @@ def test_no_embeddings(spark):
     assert sorted(tuple(r) for r in embedding_dedup.embedding_dedup(bad).collect()) == [(1, 0, 1, True), (2, 0, 2, True)]
 
 
-def test_components(spark):
-    chain = [(i, i + 1) for i in range(30)] + [(100, 100), (7, None), (50, 40), (40, 50), (60, 40)]
-    got = {r["id"]: r["component_id"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(31)} | {40: 40, 50: 40, 60: 40}
-
-
 # 7: Jaccard join -------------------------------------------------------------------------------------------
 
 
