@@ -368,7 +368,12 @@ def jaccard_components(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT,
         involved = written(likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct(), "involved")
         missing = involved if sets is None else written(involved.join(sets.select("rep"), "rep", "left_anti"), "missing")
         if sets is None or not missing.isEmpty():
-            more = written(_members(rows, classes.join(missing, "rep").select("rep", "k1", "k2"), k), "members", (parallelism(spark), "rep"))
+            wanted = classes.join(missing, "rep").select("rep", "k1", "k2")
+            own = rows
+            if turn:  # few: only their documents' texts are read into sets
+                holders = written(base.join(wanted, ["k1", "k2"]).select(F.col("doc_id").alias("holder")).distinct(), "holders")
+                own = rows.join(holders, F.col("doc_id").eqNullSafe(F.col("holder")), "left_semi")
+            more = written(_members(own, wanted, k), "members", (parallelism(spark), "rep"))
             sets = more if sets is None else sets.union(more)
         # later rounds have few pairs, so what they need of the sets is small
         new = written(_verified(likely, sets.join(involved, "rep", "left_semi") if turn else sets, percent), "links")
