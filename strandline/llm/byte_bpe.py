@@ -19,10 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strandline.llm.common import Bounded, id_text, slices, texts_of
+from strandline.llm.common import Bounded, frugal, id_text, slices, texts_of
 
 #: Pre-tokens whose ids a Python worker keeps; longer ones are encoded each time.
-CACHE_WORDS, CACHE_CHARS = 300_000, 64
+CACHE_WORDS, CACHE_CHARS = 150_000, 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -109,6 +109,7 @@ def byte_bpe(df: DataFrame, ranks: str | dict[bytes, int], pattern: str, id_col:
     """
     sent = df.sparkSession.sparkContext.broadcast(load_ranks(ranks) if isinstance(ranks, str) else dict(ranks))
 
+    @frugal
     def encode(batches):
         bpe = ByteBpe(sent.value, pattern)
         for batch in batches:

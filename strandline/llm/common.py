@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from contextlib import suppress
+from functools import wraps
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -40,6 +45,27 @@ def bytes_of(batch: pa.RecordBatch, text_col: str = "text") -> list[bytes | None
     return batch.column(text_col).cast(pa.binary()).to_pylist()
 
 
+def release() -> None:
+    """Give memory back to the system: Python workers live on after a task, and are many."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def frugal(over):
+    """A function over batches that releases memory when its task ends."""
+
+    @wraps(over)
+    def run(batches):
+        try:
+            yield from over(batches)
+        finally:
+            release()
+
+    return run
+
+
 class Bounded(dict):
     """A cache that computes missing entries and starts anew when it is full."""
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import bytes_of, id_text, slices
+from strandline.llm.common import bytes_of, frugal, id_text, slices
 from strandline.llm.shingles import shingle_hashes
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 20
@@ -168,6 +168,7 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, lea
     def over(items: list[tuple]) -> DataFrame:
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
+        @frugal
         def match(batches):
             index = BenchmarkIndex(sent.value, k, least, radius)
             for batch in batches:

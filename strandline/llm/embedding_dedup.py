@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.common import frugal
 from strandline.operators.components import components
 from strandline.storage import parallelism, written
 
@@ -203,6 +204,7 @@ def _links(reps: DataFrame, dim: int, n_rows: int, threshold: float, trees: int,
     if x_type == "array<float>":
         routed = routed.set(8, pa.field("x", pa.list_(pa.float32())))
 
+    @frugal
     def route(batches):
         trees_, grid = sent.value
         for batch in batches:

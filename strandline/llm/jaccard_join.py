@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import bytes_of, id_text, slices
+from strandline.llm.common import bytes_of, frugal, id_text, slices
 from strandline.llm.shingles import shingle_hashes
 from strandline.operators.components import components
 from strandline.storage import drop_written, parallelism, written
@@ -86,6 +86,7 @@ def sketch(rows: DataFrame, k: int) -> np.ndarray:
     """How many documents hold a shingle of each cell, over all documents."""
     width = CELLS // RANGES
 
+    @frugal
     def count(batches):
         counts = np.zeros(CELLS, np.int64)
         for batch in batches:
@@ -226,6 +227,7 @@ def _candidates(shared: DataFrame, comps: DataFrame | None, percent: int, forest
     dealt = short.union(long).repartition(n, "tok", "i", "j").sortWithinPartitions("tok", "i", "j", "n", "rep")
     schema = pa.schema([("tok", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
+    @frugal
     def find(batches):
         lists = Lists(percent, forest)
         held: list[pa.RecordBatch] = []
@@ -270,6 +272,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs that their long bitmaps allow to link; a bitmap has one bit where the set has 64."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    @frugal
     def sift(batches):
         for batch in batches:
             keep = []
@@ -285,6 +288,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs whose sets link."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    @frugal
     def verify(batches):
         for batch in batches:
             keep = []
@@ -308,6 +312,7 @@ def _members(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     sent = rows.sparkSession.sparkContext.broadcast(table)
 
+    @frugal
     def some_sets(batches):
         bits = sent.value.view(np.uint64)
         for batch in batches:
@@ -334,6 +339,7 @@ def jaccard_components(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT,
     rows = id_text(df, id_col, text_col)
     order = spark.sparkContext.broadcast(sketch(rows, k))
 
+    @frugal
     def describe(batches):
         counts = order.value
         for batch in batches:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import id_text, slices, texts_of
+from strandline.llm.common import frugal, id_text, release, slices, texts_of
 from strandline.llm.shingles import mixed
 
 #: Starts of ranges of letters and their scripts (fixed values); letters between a range's end and the next start are 'other'.
@@ -42,7 +42,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 #: Buckets of hashed n-grams, the longest n-gram, and bytes of text whose words are scored at once.
 BUCKETS, LONGEST = 1 << 17, 3
-TEXT_BYTES = 16 << 20
+TEXT_BYTES = 8 << 20
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -92,9 +92,11 @@ class LanguageModel:
             out[some] = out[some] + self.masks[name] if name in self.masks else 0.0
         return out - out.max(axis=1, keepdims=True)
 
-    def label(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def label(self, texts: list[np.ndarray], words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Viterbi labels (indices of languages) of the words of each text, and each label's probability by its word alone.
 
+        A text comes as the numbers of its words in `words`.
+
         All texts advance together, the longest first, so that each step is a few array operations; with one
         penalty for all switches the best predecessor is the same language or the best one of the step before.
         """
@@ -104,9 +106,7 @@ class LanguageModel:
         if not lengths or not lengths[0] or not self.languages:
             return out
         k = len(self.languages)
-        number: dict[str, int] = {}
-        ids = [number.setdefault(w, len(number)) for i in order for w in texts[i]]
-        flat = self.scores(list(number))[ids]
+        flat = self.scores(words).astype(np.float32)[np.concatenate([texts[i] for i in order])]
         starts = np.concatenate(([0], np.cumsum(lengths)))
         active = [bisect.bisect_left(lengths, -t, key=lambda n: -n) for t in range(lengths[0])]  # texts longer than t
         best = flat[starts[: active[0]]].copy()
@@ -142,13 +142,19 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, str]]:
         """Language, score and spans (language:words, comma-joined) of each text."""
-        words = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+        number: dict[str, int] = {}
+        numbered = []
+        for t in texts:
+            found = LETTERS.findall(t.lower()) if t else []
+            numbered.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.int32, len(found)))
+        words = list(number)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
         out = []
-        for w, (lab, sure) in zip(words, self.label(words)):
+        for own, (lab, sure) in zip(numbered, self.label(numbered, words)):
             if not len(lab):
                 out.append((UNDETERMINED, 0.0, ""))
                 continue
-            letters = np.fromiter(map(len, w), np.int64, len(w))
+            letters = sizes[own]
             by = np.bincount(lab, weights=letters, minlength=len(self.languages))
             k = int(by.argmax())
             cuts = np.flatnonzero(np.diff(lab)) + 1
@@ -170,6 +176,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     share = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(min(1.0, sample_docs / n))) for lang, n in sizes.items()))
     sample = rows.where((F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(float(1 << 20))) < share)
 
+    @frugal
     def count(batches):
         for batch in batches:
             for part in slices(batch):
@@ -224,6 +231,7 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
     """doc_id, lang_pred, score, spans of every row."""
     load = _sent(model, df.sparkSession)
 
+    @frugal
     def predict(batches):
         own = load()
         for batch in batches:
@@ -241,8 +249,11 @@ def predicted(text: Column, model: LanguageModel, spark: SparkSession) -> Column
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = load()
-        for texts in batches:
-            found = [own.predict(texts.iloc[i : i + 1000].tolist()) for i in range(0, len(texts), 1000)]
-            yield pd.DataFrame([(lang, score) for part in found for lang, score, _ in part], columns=["lang_pred", "score"])
+        try:
+            for texts in batches:
+                found = [own.predict(texts.iloc[i : i + 1000].tolist()) for i in range(0, len(texts), 1000)]
+                yield pd.DataFrame([(lang, score) for part in found for lang, score, _ in part], columns=["lang_pred", "score"])
+        finally:
+            release()
 
     return predict(text)

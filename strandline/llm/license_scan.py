@@ -21,7 +21,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strandline.llm.common import bytes_of, id_text, slices
+from strandline.llm.common import bytes_of, frugal, id_text, slices
 
 #: Words are runs of what is not an ASCII control, blank or punctuation mark; lower-casing is that of A-Z.
 WORD = rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -230,6 +230,7 @@ FIELDS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base",
 def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: counts, base places, labels, score, and the kept detections as label:start:end (bytes of the text's UTF-8)."""
 
+    @frugal
     def scan(batches):
         scanner = LicenseScanner()
         for batch in batches:

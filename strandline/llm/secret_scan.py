@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import id_text, slices, texts_of
+from strandline.llm.common import frugal, id_text, slices, texts_of
 
 #: Kinds in the order in which spans with one start are listed; the first three are base kinds (fixed values).
 KINDS = ("assign", "access", "hex", "pem", "token", "weak_user", "weak_secret", "weak_endpoint")
@@ -137,6 +137,7 @@ def secret_scan(df: DataFrame, reach: int = 200, id_col: str = "doc_id", text_co
     """One row per input row: counts of the base kinds, base_spans and spans as kind:start:end, comma-joined."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_spans", pa.string()), ("spans", pa.string())])
 
+    @frugal
     def scan(batches):
         for batch in batches:
             for part in slices(batch):

@@ -17,12 +17,12 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strandline.llm.common import Bounded, id_text, slices, texts_of
+from strandline.llm.common import Bounded, frugal, id_text, slices, texts_of
 
 #: The mark that stands for a blank in the pieces, and what an unknown character costs below the lowest score.
 BLANK, UNKNOWN_PENALTY = "▁", 10.0
 #: Words whose counts a Python worker keeps; longer words are counted each time.
-CACHE_WORDS, CACHE_CHARS = 300_000, 64
+CACHE_WORDS, CACHE_CHARS = 150_000, 64
 
 
 def load_pieces(path: str) -> list[tuple[str, float]]:
@@ -108,6 +108,7 @@ def token_counts(df: DataFrame, vocabulary: str | list[tuple[str, float]], id_co
     pieces = load_pieces(vocabulary) if isinstance(vocabulary, str) else list(vocabulary)
     sent = df.sparkSession.sparkContext.broadcast(pieces)
 
+    @frugal
     def count(batches):
         counter = PieceCounter(sent.value)
         for batch in batches:
