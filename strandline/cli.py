@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators.lexical_pairs import pairwise, summary
 from strandline.plans.config import configs
+from strandline.plans.figure import roc_figure
 from strandline.plans.report import corpus_table, result_tables, roc_table, stacked
 from strandline.plans.run import run
 from strandline.plans.translations import prepare_translations
@@ -33,7 +34,7 @@ def parser() -> argparse.ArgumentParser:
     add("run", ("config", {}), ("--tag", {"default": ""}))
     add("table", artifacts, csv)
     add("corpus", prepared, artifacts, ("--model", {"default": "hashed"}), ("--window", {"type": int}), csv)
-    add("figure", artifacts, csv)
+    add("figure", artifacts, csv, ("--svg", {"default": "artifacts/figures/roc.svg"}))
     add("vary", ("dataset", {}), ("original", {}), ("function", {"help": "module:name of list[str] -> list[str]"}), prepared, ("--lex", {"type": int, "default": 60}), ("--order", {"type": int, "default": 60}), ("--seed", {"type": int, "default": 42}), ("--batch", {"type": int, "default": 1}), ("--limit", {"type": int}))
     add("quality", ("original", {}), ("variants", {"nargs": "+"}), prepared, ("--out", {}))
     return top
@@ -70,6 +71,8 @@ def main(argv: list[str] | None = None) -> int:
         summary(pairs).orderBy("variant_type", F.asc_nulls_first("variant_level")).show(truncate=False)
     else:
         out = stacked(result_tables(spark, a.artifacts)) if a.command == "table" else corpus_table(spark, a.prepared, a.artifacts, a.model, window=a.window) if a.command == "corpus" else roc_table(spark, a.artifacts)
+        if a.command == "figure":
+            roc_figure(spark, a.artifacts, a.svg)
         out.show(100, truncate=False)
         if a.csv:
             save_csv(out, a.csv)

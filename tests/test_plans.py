@@ -3,13 +3,14 @@
 import json
 import pickle
 import random
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
 
 from strandline import cli
 from strandline.operators import matching
-from strandline.plans import config, evaluation, report, translations, variation, versions
+from strandline.plans import config, evaluation, figure, report, translations, variation, versions
 from strandline.plans.run import run, timer
 from strandline.sources import tables
 from strandline.streaming import screen
@@ -229,6 +230,10 @@ def test_run_and_reports(spark, tmp_path, capsys):
     assert cli.main(["table", "--artifacts", artifacts, "--csv", str(tmp_path / "t")]) == 0 and spark.read.csv(str(tmp_path / "t"), header=True).count() == 10
     assert {r["dataset"]: (r["docs"], r["variants"]) for r in report.corpus_table(spark, prepared, artifacts, "m").collect()} == {"krapivin": (12, 12)}
     assert {r["label"] for r in report.roc_table(spark, artifacts, panels=("krapivin",)).collect()} >= {"BM25"}
+    areas = figure.roc_figure(spark, artifacts, str(tmp_path / "f" / "roc.svg"), panels=("krapivin", "par3"))
+    assert areas["krapivin"]["BM25"] == 1.0 and "par3" not in areas
+    drawing = ElementTree.parse(tmp_path / "f" / "roc.svg").getroot()
+    assert len(drawing.findall("{http://www.w3.org/2000/svg}polyline")) == len(areas["krapivin"])
     run(spark, config.RunConfig("krapivin", method="bm25", split_seed=7, **common))
     with pytest.raises(ValueError, match="matches 2 runs"):
         report.result_table(report.metrics_table(spark, artifacts))
