@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
 import os
 import tempfile
@@ -10,8 +9,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: dict[str, SparkSession] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
     """What spark.checkpoint.dir names; a local folder is set only where it is unset."""
@@ -25,19 +22,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _at(spark: SparkSession, path: str):
+    """A path and the file system that it lies in."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    _written.pop(path, None)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-@atexit.register
-def _delete_all() -> None:
-    for path, spark in list(_written.items()):
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session has ended; the folder is the cluster's to empty
-            return
+def _app_dir(spark: SparkSession) -> str:
+    """This application's own folder; the driver's file system deletes it when it ends."""
+    path = f"{shared_dir(spark)}/strandline/{spark.sparkContext.applicationId}"
+    at, system = _at(spark, path)
+    if not system.exists(at):
+        system.mkdirs(at)
+        system.deleteOnExit(at)
+    return path
 
 
 def written(df: DataFrame, name: str, buckets: tuple[int, str] | None = None) -> DataFrame:
@@ -46,13 +44,12 @@ def written(df: DataFrame, name: str, buckets: tuple[int, str] | None = None) ->
     buckets: number and column by which the files are dealt, so that joins on that column needn't shuffle them again.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{_app_dir(spark)}/{name}-{uuid.uuid4().hex}"
     table = f"strandline_{uuid.uuid4().hex}" if buckets else None
     if buckets:
         df.write.bucketBy(*buckets).sortBy(buckets[1]).option("path", path).format("parquet").saveAsTable(table)
     else:
         df.write.parquet(path)
-    _written[path] = spark
     schema = df.schema
     del df
     gc.collect()  # what is collected as garbage on the driver lets go of its shuffle files
@@ -67,7 +64,8 @@ def drop_written(df: DataFrame) -> None:
     if path:
         if df._strandline_table:
             df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._strandline_table}")
-        _delete(df.sparkSession, path)
+        at, system = _at(df.sparkSession, path)
+        system.delete(at, True)
 
 
 def parallelism(spark: SparkSession) -> int:
