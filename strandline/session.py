@@ -14,11 +14,13 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
-def build(app: str = "strandline", master: str | None = None, partitions: int | None = None) -> SparkSession:
+def build(app: str = "strandline", master: str | None = None, partitions: int | None = None, memory: str | None = None) -> SparkSession:
     """A session for tests and benchmarks; on a cluster the submitter's configuration stays."""
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.sql.adaptive.enabled", "true")
     if master:
         builder = builder.master(master)
+    if memory:
+        builder = builder.config("spark.driver.memory", memory)  # of a local session: the executors' too
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return builder.getOrCreate()
