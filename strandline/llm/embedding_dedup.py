@@ -2,9 +2,11 @@
 
 Equal vectors of one label become one representative first, so a vector that a third of all rows share costs
 one row.  Each tree splits recursively by a random direction at a random quantile near the middle; rows close to
-the split go to both sides (spill), at most a bounded share of a node's rows.  The trees are fitted on a sample of
-at most about `sample` representatives, and every representative is routed through every tree.  Rows of one leaf
-are compared exactly, in double precision and within their label; pairs at or above the threshold link.
+the split go to both sides (spill).  The margin is never cut: where it would hold more than a bounded share of a
+node's rows in each direction tried, as in a large group of distinct but linked vectors, the node stays one leaf.
+The trees are fitted on a sample of at most about `sample` representatives, and every representative is routed
+through every tree.  Rows of one leaf are compared exactly, in double precision and within their label; pairs at or
+above the threshold link.
 
 A pair that meets in several leaves counts in the lowest one only: each row carries the list of its leaves.
 A leaf sends per-vector counts and a spanning forest of its links, never its pairs.  A leaf whose estimated size
@@ -33,7 +35,7 @@ from strandline.storage import parallelism, written
 THRESHOLD = 0.93
 TREES, LEAF, CELL = 8, 256, 4096
 SAMPLE, MIN_SAMPLE_LEAF = 32_768, 16
-SPILL, SPILL_SHARE = 0.5, 0.15
+SPILL, SPILL_SHARE, TRIES = 0.5, 0.15, 16
 
 
 class Tree:
@@ -51,17 +53,16 @@ class Tree:
         at = len(self.nodes)
         self.nodes.append(())
         if depth > 0 and len(rows) >= 2 * MIN_SAMPLE_LEAF and len(rows) > self._leaf_share * self.total:
-            direction = self._rng.standard_normal(rows.shape[1])
-            direction /= np.linalg.norm(direction)
-            along = rows @ direction
-            cut = float(np.quantile(along, self._rng.uniform(0.4, 0.6)))
-            off = np.abs(along - cut)
-            margin = min(self._gap, float(np.quantile(off, SPILL_SHARE)))
-            left, right = along <= cut + margin, along > cut - margin
-            # rows that are all within the gap of one another can't be told apart by splits
-            if np.quantile(off, 0.9) > self._gap and not left.all() and not right.all():
-                self.nodes[at] = (direction, cut, margin, self._grow(rows[left], depth - 1), self._grow(rows[right], depth - 1))
-                return at
+            # a split keeps the whole margin; a node that no direction splits so is a leaf, however large
+            for _ in range(TRIES):
+                direction = self._rng.standard_normal(rows.shape[1])
+                direction /= np.linalg.norm(direction)
+                along = rows @ direction
+                cut = float(np.quantile(along, self._rng.uniform(0.4, 0.6)))
+                left, right = along <= cut + self._gap, along > cut - self._gap
+                if np.count_nonzero(left & right) <= SPILL_SHARE * len(rows) and not left.all() and not right.all():
+                    self.nodes[at] = (direction, cut, self._gap, self._grow(rows[left], depth - 1), self._grow(rows[right], depth - 1))
+                    return at
         self.nodes[at] = (self.first_leaf + len(self.shares),)
         self.shares.append(len(rows) / self.total)
         return at

@@ -168,6 +168,22 @@ def test_embeddings(spark, options):
     assert all(r["kept"] == (r["vec_id"] is None or r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_large_group_of_distinct_linked_vectors():
+    """A third of 100,000 rows within cosine 0.94 of one another: each linked pair must meet in some leaf."""
+    rng = np.random.default_rng(3)
+    n, group, dim = 100_000, 33_333, 64
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = unit(rng.standard_normal((n, dim)))
+    x[:group] = unit(unit(rng.standard_normal(dim)) + unit(rng.standard_normal((group, dim))) * rng.uniform(0.13, 0.24, (group, 1)))
+    probes = rng.choice(group, 100, replace=False)
+    linked = x[probes] @ x.T >= embedding_dedup.THRESHOLD
+    met = np.zeros_like(linked)
+    for tree in embedding_dedup.fit_forest(x[rng.random(n) < embedding_dedup.SAMPLE / n], n, embedding_dedup.THRESHOLD, embedding_dedup.TREES, embedding_dedup.LEAF):
+        for _, rows in tree.route(x):
+            met[np.ix_(np.isin(probes, rows), rows)] = True
+    assert (met & linked).sum() >= 0.999 * linked.sum()
+
+
 def test_no_embeddings(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.embedding_dedup(none).count() == 0
