@@ -1,6 +1,8 @@
 """Operator 10: language identification of words, spans and documents.
 
-A word's script (by code point ranges) narrows the languages to those that training saw in that script.
+A word's script (by code point ranges) narrows the languages to those that training saw in that script for at
+least one in a hundred of the language's own words (`min_share`), however few its documents are; where no language
+has so many, to all that training saw there.
 Each word has a score per candidate: the sum of log probabilities of its character n-grams (1 to 3, with
 word edges).  Viterbi over the words, with a penalty for each switch of language, labels the words; runs of
 one label are the spans of mixed-language text.  A document's language is the label with the most letters;
@@ -217,7 +219,9 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     for r in rows_of:
         if r["script"] is not None:
             by_script.setdefault(r["script"], {})[r["lang"]] = r["n"]
-    scripts = {s: sorted(lang for lang, n in by.items() if n >= min_share * sum(by.values())) for s, by in by_script.items()}
+    # a share of the language's own words: other languages' samples don't decide where it is known
+    totals = {lang: sum(by.get(lang, 0) for by in by_script.values()) for lang in languages}
+    scripts = {s: sorted(lang for lang, n in by.items() if n >= min_share * totals[lang]) or sorted(by) for s, by in by_script.items()}
     return LanguageModel(languages, np.stack([counts[lang] for lang in languages], axis=1).astype(float), scripts, switch)
 
 

@@ -220,6 +220,17 @@ def test_languages(spark, empty):
     assert language_id.identify(empty, model).count() == 0
 
 
+def test_a_rare_language_is_known(spark):
+    """Four languages of 600 documents and a fifth of 10 (0.4% of the script's words): its own texts are its own."""
+    rng = random.Random(11)
+    lexicon = {lang: ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(300)] for lang, letters in [("aa", "abcdeiou"), ("bb", "aeklmnst"), ("cc", "iouprstv"), ("dd", "aoygzbdr"), ("rare", "euwxqjhf")]}
+    text = lambda lang: " ".join(rng.choice(lexicon[lang]) for _ in range(30))
+    rows = [(text(lang), lang) for lang in lexicon for _ in range(10 if lang == "rare" else 600)]
+    model = language_id.train(spark.createDataFrame(rows, "text string, lang string"))
+    for lang in lexicon:
+        assert [model.predict([text(lang)])[0][0] for _ in range(20)] == [lang] * 20
+
+
 def test_held_out_accuracy(spark):
     from strandline.llm.queries import op10_language_id, table
 
