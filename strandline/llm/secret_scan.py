@@ -33,7 +33,9 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # a run of 16 or more is what [0-9a-f]+ give
 ASSIGN_MIN, ACCESS_MIN = 12, 18
 ASSIGN_KEYS = ("passw", "secret", "token", "api")
 #: Further strong kinds: private key blocks, and tokens that carry their issuer's prefix.
-PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
+PEM = re.compile(r"-----(BEGIN|END) ((?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?)-----")
+#: Lines of a key whose END line is missing: headers and base64, the last line of any length.
+PEM_BODY = re.compile(r"""(?:(?:\s|\\[nr])*+(?:(?:Proc-Type|DEK-Info)[^\n]*+|[A-Za-z0-9+/]{16,}+={0,2}(?=[\x20\t]*(?:[\r\n\\"'`,<]|\Z))))*+(?:(?:[\r\n]|\\[nr])++[A-Za-z0-9+/]++={0,2}(?=[\x20\t]*(?:[\r\n\\"'`,<]|\Z)))?""")
 TOKEN = re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})")
 TOKEN_KEYS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_live_", "eyJ")
 #: Weak candidates.
@@ -61,6 +63,17 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], RANK[s[2]]))
 
 
+def pem_spans(text: str) -> list[Span]:
+    """Private key blocks: from BEGIN to the END line, or to the end of the base64 lines where the next line of dashes is another."""
+    marks = list(PEM.finditer(text))
+    out: list[Span] = []
+    for m, after in zip(marks, [*marks[1:], None]):
+        if m[1] == "BEGIN":
+            closed = after is not None and after[1] == "END" and after[2] == m[2]
+            out.append((m.start(), after.end() if closed else PEM_BODY.match(text, m.end()).end(), "pem"))
+    return out
+
+
 def _merged(spans: list[Span]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for s, e, _ in sorted(spans):
@@ -115,7 +128,7 @@ def secret_spans(text: str | None, reach: int = 200) -> tuple[list[Span], list[S
     base = base_spans(text)
     strong = list(base)
     if "PRIVATE KEY" in text:
-        strong += [(m.start(), m.end(), "pem") for m in PEM.finditer(text)]
+        strong += pem_spans(text)
     if any(k in text for k in TOKEN_KEYS):
         strong += [(m.start(), m.end(), "token") for m in TOKEN.finditer(text)]
     weak: list[Span] = []
