@@ -2,7 +2,7 @@
 
 Base kinds (assign, access, hex) are found by themselves.  Parts of credentials are collected besides:
 identifiers (access identifiers, `user = x`), secrets (assignments, long tokens) and endpoints (URLs with a
-host, `host = x`).  An interval join by sorted starts links parts whose spans lie within one scope (a
+host, `host = x`); the names may have a prefix and a suffix (`DB_HOST = x`).  An interval join by sorted starts links parts whose spans lie within one scope (a
 paragraph, and no further apart than `reach` code points).  A weak candidate, one that alone is too vague to
 report, becomes a span only when a part of a complementary kind is linked to it.
 
@@ -14,8 +14,10 @@ empty table gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from strandline.llm.common import frugal, id_text, slices, texts_of
 
 #: Kinds in the order in which spans with one start are listed; the first three are base kinds (fixed values).
-KINDS = ("assign", "access", "hex", "pem", "token", "weak_user", "weak_secret", "weak_endpoint")
+KINDS = ("assign", "access", "hex", "pem", "token", "weak_user", "weak_secret", "weak_endpoint", "weak_token")
 RANK = {k: i for i, k in enumerate(KINDS)}
 #: The base kinds' expressions and lengths (fixed values).  re.ASCII keeps either-case letters to A-Z and a-z.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -38,13 +40,18 @@ PEM = re.compile(r"-----(BEGIN|END) ((?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?)-----")
 PEM_BODY = re.compile(r"""(?:(?:\s|\\[nr])*+(?:(?:Proc-Type|DEK-Info)[^\n]*+|[A-Za-z0-9+/]{16,}+={0,2}(?=[\x20\t]*(?:[\r\n\\"'`,<]|\Z))))*+(?:(?:[\r\n]|\\[nr])++[A-Za-z0-9+/]++={0,2}(?=[\x20\t]*(?:[\r\n\\"'`,<]|\Z)))?""")
 TOKEN = re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})")
 TOKEN_KEYS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_live_", "eyJ")
-#: Weak candidates.
-WEAK_USER = re.compile(r"""\b(?:user(?:name)?|login|client_id|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""", re.IGNORECASE | re.ASCII)
-WEAK_SECRET = re.compile(r"""\b(?:key|pass|pwd|auth|credential)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{8,})""", re.IGNORECASE | re.ASCII)
-WEAK_ENDPOINT = re.compile(r"""\b(?:host|endpoint|server|region)["']?\x20*[:=]\x20*["']?([A-Za-z0-9.:/_-]{4,})|\b[a-z][a-z0-9+.-]*://[^\s"'<>]+""", re.IGNORECASE | re.ASCII)
-WEAK_KEYS = ("user", "login", "client_id", "account", "key", "pass", "pwd", "auth", "credential", "host", "endpoint", "server", "region", "://")
+#: Weak candidates.  A key word may be part of a longer name (DB_HOST, aws_secret_access_key, privateKey), at a sign or a change of case.
+_FROM = r"(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])))"
+_ON = r"""(?:[_.-][A-Za-z0-9_.-]{0,64}|[0-9][A-Za-z0-9_.-]{0,64}|(?-i:(?<=[a-z])[A-Z][A-Za-z0-9_.-]{0,64}))?["']?\x20*[:=]\x20*["']?"""
+WEAK_USER = re.compile(_FROM + r"(?:user(?:name)?|login|client_id|account)" + _ON + r"([A-Za-z0-9._@-]{3,})", re.IGNORECASE | re.ASCII)
+WEAK_SECRET = re.compile(_FROM + r"(?:key|pass(?:w(?:or)?d|phrase)?|pwd|auth|credential|secret|token)(?![_.-]?id\b)" + _ON + r"([A-Za-z0-9+/_.=-]{8,})", re.IGNORECASE | re.ASCII)
+WEAK_ENDPOINT = re.compile(_FROM + r"(?:host|endpoint|server|region)" + _ON + r"""([A-Za-z0-9.:/_-]{4,})|\b[a-z][a-z0-9+.-]{0,63}://[^\s"'<>]+""", re.IGNORECASE | re.ASCII)
+#: A long token that stands free; it must also be mixed() to count.
+WEAK_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
+TOKEN_BITS = 3.7
+WEAK_KEYS = ("user", "login", "client_id", "account", "key", "pass", "pwd", "auth", "credential", "host", "endpoint", "server", "region", "secret", "token", "://")
 #: Which part of a credential a kind is.
-PART = {"assign": "secret", "access": "id", "hex": "secret", "pem": "secret", "token": "secret", "weak_user": "id", "weak_secret": "secret", "weak_endpoint": "endpoint"}
+PART = {"assign": "secret", "access": "id", "hex": "secret", "pem": "secret", "token": "secret", "weak_user": "id", "weak_secret": "secret", "weak_endpoint": "endpoint", "weak_token": "secret"}
 #: Parts that make a weak one of the key's part worth a report.
 COMPLEMENT = {"id": ("secret",), "secret": ("id", "endpoint"), "endpoint": ("secret",)}
 
@@ -63,6 +70,14 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], RANK[s[2]]))
 
 
+def mixed(token: str) -> bool:
+    """Whether a token has digits, small and capital letters, and the entropy of a random one."""
+    if not (re.search("[0-9]", token) and re.search("[a-z].*[a-z]", token) and re.search("[A-Z].*[A-Z]", token)):
+        return False
+    n = len(token)
+    return -sum(c / n * math.log2(c / n) for c in Counter(token).values()) >= TOKEN_BITS
+
+
 def pem_spans(text: str) -> list[Span]:
     """Private key blocks: from BEGIN to the END line, or to the end of the base64 lines where the next line of dashes is another."""
     marks = list(PEM.finditer(text))
@@ -137,6 +152,14 @@ def secret_spans(text: str | None, reach: int = 200) -> tuple[list[Span], list[S
         if any(k in low for k in WEAK_KEYS):
             for kind, pattern in (("weak_user", WEAK_USER), ("weak_secret", WEAK_SECRET), ("weak_endpoint", WEAK_ENDPOINT)):
                 weak += [(m.start(), m.end(), kind) for m in pattern.finditer(text)]
+    if any(PART[k] != "secret" for _, _, k in strong + weak):
+        # a token within a name's value or a URL is no token of its own
+        covered = _merged(weak)
+        begins = [s for s, _ in covered]
+        for m in WEAK_TOKEN.finditer(text):
+            i = bisect_right(begins, m.start())
+            if not (i and covered[i - 1][1] > m.start()) and mixed(m[0]):
+                weak.append((m.start(), m.end(), "weak_token"))
     if weak:
         strong += linked(text, strong, weak, reach)
     return base, sorted(set(strong), key=lambda s: (s[0], RANK[s[2]], s[1]))
