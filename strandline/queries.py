@@ -224,7 +224,7 @@ def j10_bm25_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def j11_fuzzy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, asked = corpus(spark, sf_dir), F.col("doc_id").cast("long") % 50 == 0
-    return matching.fuzzy_matches(docs.where(~asked), docs.where(asked))
+    return matching.fuzzy_matches(docs, docs.where(asked), exclude_self=True)
 
 
 @query()
