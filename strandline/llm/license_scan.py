@@ -2,7 +2,7 @@
 
 Rules come from a table of license families (name, versions, forms), written out into some hundreds of
 regular expressions over lower-cased text (A-Z only), each with a keyword that must occur before the
-expression is tried, a priority and a label.  Detections that overlap are resolved in order of priority,
+expression is tried (words, whatever separates them), a priority and a label.  Detections that overlap are resolved in order of priority,
 then length: one that lies within an accepted one is suppressed.  Base phrases are words that stand
 consecutively; they are counted at all their places and never suppressed.
 
@@ -87,7 +87,7 @@ CLAUSES = [
     ("bsd", "redistribution and use", 60, 0.9, "redistribution and use in source and binary forms with or without modification"),
     ("bsd-3-clause", "neither the name", 61, 0.9, "neither the name of"),
     ("gpl", "free software foundation", 55, 0.7, "published by the free software foundation"),
-    ("apache", "licensed under the apache", 62, 0.9, "you may not use this file except in compliance with the license"),
+    ("apache", "you may not use this file", 62, 0.9, "you may not use this file except in compliance with the license"),
     ("zlib", "altered source versions", 60, 0.9, "altered source versions must be plainly marked as such"),
     ("public-domain", "public domain", 50, 0.7, "released into the public domain"),
     ("public-domain", "public domain", 50, 0.7, "dedicated to the public domain"),
@@ -162,8 +162,10 @@ class LicenseScanner:
     def detections(self, low: bytes) -> list[tuple[int, int, Rule]]:
         """Kept detections of a lower-cased text, as byte spans, in order."""
         found = []
+        # keywords of several words are looked up where single blanks separate words, as expressions allow any separator
+        spaced = b" ".join(low.translate(self.blank).split())
         for keyword, rules in self.groups.items():
-            if keyword in low:
+            if keyword in (spaced if b" " in keyword else low):
                 found += [(m.start(), m.end(), rule) for rule in rules for m in rule.pattern.finditer(low)]
         if not found:
             return []

@@ -125,6 +125,33 @@ def test_signatures(text, labels):
     assert SCANNER.scan(text.encode())["labels"] == labels
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("under Creative\nCommons Attribution 4.0", "cc-by-4.0"),
+        ("released into the public-domain", "public-domain"),
+        ("# Permission  is hereby\n# granted, free of charge, to any person obtaining a copy", "mit"),
+        ("/* Redistribution\n * and use in source and binary forms, with or without modification", "bsd"),
+        ("published by the Free Software\n    Foundation", "gpl"),
+        ("All  rights\treserved", "proprietary"),
+        ("you may not use this file except in compliance with the License", "apache"),
+    ],
+)
+def test_keywords_may_be_wrapped(text, labels):
+    assert SCANNER.scan(text.encode())["labels"] == labels
+
+
+def test_no_keyword_hides_a_rule():
+    """Each clause, and each text of the others, with any separators: as without keywords."""
+    plain = lambda found: [(a, b, rule.label, rule.weight) for a, b, rule in found]
+    every = license_scan.LicenseScanner([r._replace(keyword=b"") for r in license_scan.signature_rules()])
+    names = [n for _, names, _, _ in license_scan.FAMILIES for n in names] + [f"creative commons {n}" for n in license_scan.CC_KINDS.values()] + [c[4] for c in license_scan.CLAUSES]
+    for sep in (" ", "\n", " \n * ", "--"):
+        for name in names:
+            low = sep.join((name + " 2.0").split()).encode()
+            assert plain(SCANNER.detections(low)) == plain(every.detections(low)), low
+
+
 def test_suppression_is_by_containment():
     rules = [license_scan.Rule("wide", b"a", 2, 0.5, re.compile(rb"a b c")), license_scan.Rule("in", b"b", 1, 0.5, re.compile(rb"b")), license_scan.Rule("across", b"c", 1, 0.5, re.compile(rb"c d"))]
     found = license_scan.LicenseScanner(rules).detections(b"a b c d b")
