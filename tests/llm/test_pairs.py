@@ -308,3 +308,13 @@ def test_stages_keep_the_columns(spark, odd):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, "/root/testdata/sf0.001")
         assert docs.columns == odd.columns
+
+
+def test_pipeline_decodes(spark):
+    """The last stage's digest is that of the bytes that the ids stand for, which are the text's."""
+    import corpus_pipeline
+
+    texts = {1: "plain words", 2: "Ünïcödé 漢字 \U0001f600", 3: "", 4: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["decoded_sha256"] for r in corpus_pipeline.byte_level_bpe(spark, docs, "").collect()}
+    assert got == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in texts.items()}
