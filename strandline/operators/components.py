@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.storage import drop_written, written
+from strandline.storage import drop_written, free_shuffles, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -37,5 +37,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now, before, mark = after, mark, _mark(after)
         if mark == before:
             break
+    free_shuffles(edges.sparkSession)
     own = now.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
     return own.union(now.select("v", "v")).distinct()
