@@ -7,21 +7,27 @@ documents link when 100 * intersection >= percent * union.
 * A set's shingles have one global order: by their count in a sketch over all documents, then by hash.  Sets that
   link share a shingle among the first n - ceil(percent * n / 100) + 1 of either (prefix filter), so index lists
   hold those shingles only, each entry with the set's size, the shingle's position and a 256-bit parity bitmap.
-* Index-level skipping: a list is in order of size and cut into blocks; block pairs out of the size bound are skipped
-  whole.  Within a block pair the bounds by position (shingles before and after it) and by bitmap (its Hamming
-  distance never exceeds the sets' symmetric difference) reject pairs without their sets.
-* Answer-level skipping: a set linked to another one takes over its component, and pairs within a component are not
-  looked at again.  The first rounds verify only a spanning forest of each longer list's candidates, most alike first.
-  A list whose forest holds has all its candidates in one component each, and is done.  The last round verifies every
-  candidate pair between different components of the lists that are left.
-
-So each link is either verified or lies within a component already, and the components are exact.  A list longer than
-`chunk` is dealt by a hash of the set in the first rounds and as a grid of chunk pairs in the last one, so that no
-task gets an unbounded list.  The sketch and the filter that spares most sets the way to their verification have a
-fixed size, whatever the input.
+* Index-level skipping: a list is cut into blocks of about one size, each in order of position.  Two sets that link
+  have positions within an interval that their sizes give (shingles before and after it), so a probe jumps to the
+  first entry of a block within reach, by binary search, leaves it after the last one, and skips blocks out of the
+  size bound whole.  What is left must also pass the bitmaps, whose Hamming distance never exceeds the sets' symmetric
+  difference.
+* Answer-level skipping: the first round verifies all candidates of short lists and a spanning forest of each longer
+  list's, most alike first.  Sets linked so far form groups, and the least set of a group is its leader.  Pairs within
+  a group need no answer.  For a candidate pair across groups the leaders' answers come first: with the symmetric
+  differences d of leader and leader and of leader and member, those of the members lie within
+  d(leaders) +- d(first) +- d(second), which settles most pairs, either way, without their sets.  Only pairs that
+  this leaves open are verified.
+
+So each link is verified, follows from verified distances, or lies within a group already, and the components are
+exact.  A list longer than `chunk` is dealt by a hash of the set in the first round and as a grid of chunk pairs in the
+second one, so that no task gets an unbounded list.  The sketch has about as many cells as there are shingles, up to
+a bound; beyond it, it still puts shingles last that stand out among the documents.  The filter that spares most sets
+the way to their verification grows with what is wanted; beyond its bound the documents are picked by a join.
 
 Defined results: null or wordless texts have an empty set and link with nothing; a null id has a null component and
-lends no id to a component; rows with one doc_id each give a row, and their sets join by themselves; an empty table
+lends no id to a component; rows with one doc_id each give a row, and their sets join by themselves; ties of the order
+go by hash and ties of a component by the smaller doc_id; a text of any length is one set, read whole; an empty table
 gives an empty table; other columns are not read.
 """
 
@@ -35,16 +41,17 @@ from pyspark.sql import functions as F
 from strandline.llm.common import bytes_of, frugal, id_text, slices
 from strandline.llm.shingles import shingle_hashes
 from strandline.operators.components import components
-from strandline.storage import drop_written, parallelism, written
+from strandline.storage import drop_written, free_shuffles, parallelism, scratch, written
 
 SHINGLE, PERCENT, CHUNK = 5, 80, 4096
-#: Cells of the sketch of shingle counts, and the ranges in which it is summed.
-CELLS, RANGES = 1 << 20, 16
+#: Least and most cells of the sketch of shingle counts, as powers of two, the ranges in which it is summed, and the bytes of text that a cell stands for.
+CELLS, RANGES, CELL_BYTES = (16, 24), 64, 6
 #: Lists of at most so many entries are compared pair by pair for many lists at once.
 SMALL = 8
-BLOCK = 256
-#: Bits, as a power of two, of the filter of keys whose sets are wanted, and how many bits a key has.
-FILTER, FILTER_HASHES = 25, 3
+#: Sizes within a block of a list differ by at most this share; pairs are tested so many at a time.
+SIZE_STEP, PIECE = 0.02, 1 << 18
+#: Least and most bits, as powers of two, of the filter of keys whose sets are wanted, and how many bits a key has.
+FILTER, FILTER_HASHES = (16, 26), 3
 
 
 def shingle_set(text: bytes | None, k: int) -> np.ndarray:
@@ -82,30 +89,58 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(x) for x in np.array([h >> 64, h & (1 << 64) - 1], np.uint64).view(np.int64))
 
 
-def sketch(rows: DataFrame, k: int) -> np.ndarray:
-    """How many documents hold a shingle of each cell, over all documents."""
-    width = CELLS // RANGES
+class Sketch:
+    """How many documents hold a shingle of each cell: 2 * log2 of the count, one byte a cell."""
+
+    def __init__(self, bits: int, levels: np.ndarray):
+        self.mask, self.levels = np.uint64((1 << bits) - 1), levels
+
+    def order(self, s: np.ndarray) -> np.ndarray:
+        """Indices of a set's shingles (sorted by hash) in the global order."""
+        return np.argsort(self.levels[(s & self.mask).astype(np.int64)], kind="stable")
+
+
+def sketch(rows: DataFrame, k: int) -> Sketch:
+    """Counted over all documents; tasks send the cells that they saw, and each range of cells is summed as a stream."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(CELLS[1], max(CELLS[0], (size // CELL_BYTES).bit_length()))
+    width = (1 << bits) // RANGES
+    schema = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
+
+    def packed(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
+        raw = [pa.compress(c.tobytes(), codec="zstd", asbytes=True) for c in parts.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array(raw, pa.binary())], schema=schema)
+
+    def unpacked(raw: bytes) -> np.ndarray:
+        return np.frombuffer(pa.decompress(raw, 4 * width, codec="zstd", asbytes=True), np.uint32)
 
     @frugal
     def count(batches):
-        counts = np.zeros(CELLS, np.int64)
+        counts = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for part in slices(batch):
-                sets = [shingle_set(t, k) for t in bytes_of(part)]
-                counts += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array([counts[r * width : (r + 1) * width].tobytes() for r in range(RANGES)], pa.binary())], names=["part", "counts"])
-
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = np.zeros(width, np.int64)
-        for counts in table.column("counts").to_pylist():
-            total += np.frombuffer(counts, np.int64)
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
-
-    parts = rows.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
-    out = np.zeros(CELLS, np.int64)
+                seen, times = np.unique(np.concatenate([shingle_set(t, k) for t in bytes_of(part)]) & np.uint64((1 << bits) - 1), return_counts=True)
+                counts[seen.astype(np.int64)] += times.astype(np.uint32)
+        for r in range(RANGES):
+            own = counts[r * width : (r + 1) * width]
+            if own.any():
+                yield packed({r: own})
+
+    @frugal
+    def add(batches):
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for r, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "counts"))):
+                totals.setdefault(r, np.zeros(width, np.int64))[:] += unpacked(raw)
+        levels = {r: np.round(2 * np.log2(np.maximum(1, t))).astype(np.uint8) for r, t in totals.items()}
+        if levels:
+            yield packed(levels)
+
+    parts = rows.select("text").mapInArrow(count, "part int, counts binary").repartition(min(RANGES, parallelism(rows.sparkSession)), "part").mapInArrow(add, "part int, counts binary").collect()
+    out = np.zeros(1 << bits, np.uint8)
     for r in parts:
-        out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["counts"], np.int64)
-    return out
+        out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(pa.decompress(bytes(r["counts"]), width, codec="zstd", asbytes=True), np.uint8)
+    return Sketch(bits, out)
 
 
 def needed(a, b, percent: int):
@@ -134,13 +169,13 @@ class Lists:
     def distance(x: dict, i, j) -> np.ndarray:
         return np.bitwise_count(x["bits"][i] ^ x["bits"][j]).sum(axis=-1).astype(np.int64)
 
-    def pairs(self, x: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Indices of candidate pairs of all lists in x, whose rows are sorted by list, then size; and whether a list's pairs are all there."""
+    def pairs(self, x: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of candidate pairs of all lists in x, whose rows are sorted by list, then size."""
         key = x["list"]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
         small = np.repeat(sizes <= SMALL, sizes)
-        left, right, whole = [np.zeros(0, int)], [np.zeros(0, int)], 0
+        left, right = [np.zeros(0, int)], [np.zeros(0, int)]
         for d in range(1, SMALL):
             i = np.flatnonzero((key[:-d] == key[d:]) & small[:-d]) if len(key) > d else np.zeros(0, int)
             if not len(i):
@@ -148,7 +183,6 @@ class Lists:
             keep = self.bound(x, i, i + d)
             left.append(i[keep])
             right.append(i[keep] + d)
-            whole += len(left[-1])
         for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
             comp = x["comp"][start : start + size]
             if (comp == comp[0]).all():
@@ -156,24 +190,35 @@ class Lists:
             i, j = (self._forest if self.forest else self._blocks)(x, int(start), int(size))
             left.append(i)
             right.append(j)
-        left, right = np.concatenate(left), np.concatenate(right)
-        return left, right, np.arange(len(left)) < whole
+        return np.concatenate(left), np.concatenate(right)
 
     def _blocks(self, x: dict, start: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-        left, right = [], []
-        n = x["n"]
-        for at in range(start, start + size, BLOCK):
-            end = min(at + BLOCK, start + size)
-            for other in range(at, start + size, BLOCK):
-                if self.percent * int(n[other]) > 100 * int(n[end - 1]):
+        """All pairs of the list that may link: blocks of about one size, entries within reach by position."""
+        n, pos = x["n"][start : start + size], x["pos"][start : start + size]
+        kind = np.floor(np.log(n) / SIZE_STEP).astype(np.int64)
+        order = np.lexsort((pos, kind))
+        cuts = np.flatnonzero(np.diff(kind[order])) + 1
+        blocks = [(rows, pos[rows], int(n[rows].min()), int(n[rows].max())) for rows in np.split(order, cuts)]
+        left, right = [np.zeros(0, int)], [np.zeros(0, int)]
+        for at, (rows, p, small, large) in enumerate(blocks):
+            for other in range(at, len(blocks)):
+                members, q, low, high = blocks[other]
+                if self.percent * low > 100 * large:
                     break  # this block and all after it are too large
-                stop = min(other + BLOCK, start + size)
-                i, j = (v.ravel() for v in np.meshgrid(np.arange(at, end), np.arange(other, stop), indexing="ij"))
+                least = needed(small, low, self.percent)
+                first, last = np.searchsorted(q, p + least - large), np.searchsorted(q, p + high - least, side="right")
                 if other == at:
-                    i, j = i[i < j], j[i < j]
-                keep = self.bound(x, i, j)
-                left.append(i[keep])
-                right.append(j[keep])
+                    first = np.maximum(first, np.arange(1, len(rows) + 1))
+                many = np.maximum(last - first, 0)
+                ends = np.cumsum(many)
+                for begin in range(0, int(ends[-1]), PIECE):
+                    k = np.arange(begin, min(begin + PIECE, int(ends[-1])))
+                    i = np.searchsorted(ends, k, side="right")
+                    j = k - (ends[i] - many[i]) + first[i]
+                    i, j = start + rows[i], start + members[j]
+                    keep = self.bound(x, i, j)
+                    left.append(i[keep])
+                    right.append(j[keep])
         return np.concatenate(left), np.concatenate(right)
 
     def _forest(self, x: dict, start: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -209,14 +254,14 @@ class Lists:
         return np.array(left, int), np.array(right, int)
 
 
-def _candidates(shared: DataFrame, comps: DataFrame | None, percent: int, forest: bool, chunk: int, turn: int) -> DataFrame:
-    """tok, a < b: candidate pairs of classes in different components; tok is null where all of the list's pairs are there."""
+def _candidates(shared: DataFrame, comps: DataFrame | None, percent: int, forest: bool, chunk: int) -> DataFrame:
+    """a < b: candidate pairs of classes in different components, each once."""
     n = parallelism(shared.sparkSession)
     rows = shared.withColumn("comp", F.col("rep")) if comps is None else shared.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component_id", "rep")).drop("component_id")
     short = rows.where(F.col("m") <= chunk).select("tok", "rep", "n", "pos", "bits", "comp", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
     long = rows.where(F.col("m") > chunk)
     spread = F.ceil(F.col("m") / chunk).cast("int")
-    own = F.pmod(F.xxhash64("rep", F.lit(turn)), spread).cast("int")
+    own = F.pmod(F.xxhash64("rep"), spread).cast("int")
     if forest:
         long = long.select("tok", "rep", "n", "pos", "bits", "comp", own.alias("i"), own.alias("j"), F.lit(0).alias("side"))
     else:
@@ -225,7 +270,7 @@ def _candidates(shared: DataFrame, comps: DataFrame | None, percent: int, forest
         long = long.join(open_, "tok").withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), spread - 1)))
         long = long.select("tok", "rep", "n", "pos", "bits", "comp", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), F.when(F.col("own") > F.col("o"), 1).otherwise(0).alias("side"))
     dealt = short.union(long).repartition(n, "tok", "i", "j").sortWithinPartitions("tok", "i", "j", "n", "rep")
-    schema = pa.schema([("tok", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     @frugal
     def find(batches):
@@ -241,9 +286,14 @@ def _candidates(shared: DataFrame, comps: DataFrame | None, percent: int, forest
             for c in ("n", "pos"):
                 x[c] = x[c].astype(np.int64)
             x["bits"] = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, 4)
-            left, right, whole = lists.pairs(x)
+            left, right = lists.pairs(x)
             a, b = x["rep"][left], x["rep"][right]
-            return pa.RecordBatch.from_arrays([pa.array(x["tok"][left], mask=whole), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            order = np.lexsort((b, a))  # lists that share many sets share their pairs
+            a, b = a[order], b[order]
+            once = np.ones(len(a), bool)
+            once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            return pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once])], schema=schema)
 
         def cut(table: pa.Table) -> int:
             """Where the last list of a table begins."""
@@ -265,7 +315,7 @@ def _candidates(shared: DataFrame, comps: DataFrame | None, percent: int, forest
         if held:
             yield done(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(find, "tok long, a long, b long").distinct()
+    return dealt.mapInArrow(find, "a long, b long").distinct()
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -284,31 +334,63 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return own.select("a", "b", "n", "m", "x", "y").mapInArrow(sift, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs whose sets link."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, apart (size of the symmetric difference), total (of both sizes) of the pairs."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("apart", pa.int64()), ("total", pa.int64())])
 
     @frugal
-    def verify(batches):
+    def measure(batches):
         for batch in batches:
-            keep = []
+            apart, total = [], []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
                 s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=schema).filter(pa.array(keep, pa.bool_()))
+                total.append(len(s) + len(t))
+                apart.append(total[-1] - 2 * len(np.intersect1d(s, t, assume_unique=True)))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(apart, pa.int64()), pa.array(total, pa.int64())], schema=schema)
 
     with_sets = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b")
-    return with_sets.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
-
-
-def _members(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """rep, set of the wanted classes, from the texts; a filter of fixed size keeps most other sets from being sent."""
-    mask = (1 << FILTER) - 1
+    return with_sets.select("a", "b", "x", "y").mapInArrow(measure, "a long, b long, apart long, total long")
+
+
+def _links(apart, total, percent: int):
+    """Whether sets of `total` members together link that differ in `apart`: 100 * common >= percent * union."""
+    return 100 * (total - apart) >= percent * (total + apart)
+
+
+class _Sets:
+    """Sets of classes, read from the texts when they are first wanted."""
+
+    def __init__(self, rows: DataFrame, base: DataFrame, classes: DataFrame, k: int):
+        self.rows, self.base, self.classes, self.k, self.known = rows, base, classes, k, None
+
+    def of(self, reps: DataFrame) -> DataFrame:
+        """rep, set of these classes."""
+        spark = reps.sparkSession
+        missing = reps if self.known is None else written(reps.join(self.known.select("rep"), "rep", "left_anti"), "missing")
+        n = missing.count()
+        if not n and self.known is None:
+            return reps.withColumn("set", F.lit(b""))
+        if n:
+            wanted = written(self.classes.join(missing, "rep").select("rep", "k1", "k2"), "wanted")
+            own, bits = self.rows, max(FILTER[0], (16 * n).bit_length())
+            if self.known is not None or bits > FILTER[1]:  # few, or too many for the filter: one document of each class is picked by a join
+                holders = self.base.join(wanted, ["k1", "k2"]).groupBy("rep").agg(F.min("doc_id").alias("holder")).select("holder").distinct()
+                own = self.rows.join(holders, F.col("doc_id").eqNullSafe(F.col("holder")), "left_semi")
+            more = written(_members(own, wanted, self.k, min(bits, FILTER[1])), "members", (parallelism(spark), "rep"))
+            first, self.known = self.known is None, more if self.known is None else self.known.union(more)
+            free_shuffles(spark)
+            if first:
+                return more
+        return self.known.join(reps, "rep", "left_semi")
+
+
+def _members(rows: DataFrame, wanted: DataFrame, k: int, n_bits: int) -> DataFrame:
+    """rep, set of the wanted classes, from the texts; a filter of 2 ** n_bits bits keeps most other sets from being sent."""
+    mask = (1 << n_bits) - 1
     at = F.explode(F.array(*(F.shiftrightunsigned("k1", 64 // FILTER_HASHES * i).bitwiseAND(mask) for i in range(FILTER_HASHES))))
     words = wanted.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
     found = words.toArrow()
-    table = np.zeros(1 << FILTER - 6, np.int64)
+    table = np.zeros(1 << n_bits - 6, np.int64)
     table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     sent = rows.sparkSession.sparkContext.broadcast(table)
 
@@ -333,15 +415,52 @@ def _members(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return found.groupBy("rep").agg(F.first("set").alias("set"))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+
+
+def _derived(pairs: DataFrame, comps: DataFrame, sets: _Sets, percent: int) -> DataFrame:
+    """a, b: links among pairs of different groups, from the leaders' distances where they decide, else from the sets.
+
+    A pair whose leaders link is left out: its groups are one by then.
+    """
+    led = comps.select(F.col("id").alias("a"), F.col("component_id").alias("la"))
+    asked = pairs.join(led, "a", "left").join(led.select(F.col("a").alias("b"), F.col("la").alias("lb")), "b", "left")
+    asked = written(asked.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")), "asked")
+    heads = asked.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+    own = asked.where("la <> a").select(F.col("la").alias("a"), F.col("a").alias("b")).union(asked.where("lb <> b").select("lb", "b")).distinct()
+    known = heads.union(own).distinct()
+    known = written(_measured(known, sets.of(written(_ends(known), "ends"))), "known")
+    from_heads = known.select(F.col("a").alias("l1"), F.col("b").alias("l2"), F.col("apart").alias("dl"), F.col("total").alias("tl"))
+    first = known.select(F.col("a").alias("la"), F.col("b").alias("a"), F.col("apart").alias("da"))
+    second = known.select(F.col("a").alias("lb"), F.col("b").alias("b"), F.col("apart").alias("db"))
+    sized = sets.classes.select("rep", "n")
+    told = asked.withColumns({"l1": F.least("la", "lb"), "l2": F.greatest("la", "lb")}).join(from_heads, ["l1", "l2"]).where(~_links(F.col("dl"), F.col("tl"), percent))
+    told = told.where("a <> la or b <> lb").join(first, ["la", "a"], "left").join(second, ["lb", "b"], "left")
+    told = told.join(sized.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(sized.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
+    slack, total = F.coalesce("da", F.lit(0)) + F.coalesce("db", F.lit(0)), F.col("na") + F.col("nb")
+    told = told.select("a", "b", (F.col("dl") + slack).alias("most"), F.greatest(F.col("dl") - slack, F.lit(0)).alias("least"), total.alias("total"))
+    told = written(told.where(_links(F.col("least"), F.col("total"), percent)), "open")
+    sure = _links(F.col("most"), F.col("total"), percent)
+    open_ = told.where(~sure).select("a", "b")
+    verified = _measured(open_, sets.of(written(_ends(open_), "ends")))
+    hit = _links(F.col("apart"), F.col("total"), percent)
+    return known.where(hit).select("a", "b").union(told.where(sure).select("a", "b")).union(verified.where(hit).select("a", "b"))
+
+
 def jaccard_components(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) of every row."""
-    spark = df.sparkSession
-    rows = id_text(df, id_col, text_col)
+    with scratch() as keep:
+        return keep(written(_components(id_text(df, id_col, text_col), k, percent, chunk), "jaccard"))
+
+
+def _components(rows: DataFrame, k: int, percent: int, chunk: int) -> DataFrame:
+    spark = rows.sparkSession
     order = spark.sparkContext.broadcast(sketch(rows, k))
 
     @frugal
     def describe(batches):
-        counts = order.value
+        ranked = order.value
         for batch in batches:
             for part in slices(batch):
                 out: dict[str, list] = {c: [] for c in ("k1", "k2", "n", "bits", "long", "prefix")}
@@ -349,7 +468,7 @@ def jaccard_components(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT,
                     s = shingle_set(text, k)
                     n = len(s)
                     key = set_key(s) if n else (None, None)
-                    first = s[np.lexsort((s, counts[(s & np.uint64(CELLS - 1)).astype(np.int64)]))][: prefix_length(n, percent)] if n else s
+                    first = s[ranked.order(s)[: prefix_length(n, percent)]] if n else s
                     for c, v in zip(out, (*key, n, bitmap(s), long_bitmap(s), first.view(np.int64))):
                         out[c].append(v)
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
@@ -360,38 +479,26 @@ def jaccard_components(df: DataFrame, k: int = SHINGLE, percent: int = PERCENT,
     heavy = written(heavy.withColumn("rep", F.monotonically_increasing_id()), "classes")
     base = written(described.select("doc_id", "n", "k1", "k2"), "keys")
     drop_written(described)
+    free_shuffles(spark)
     frequent = heavy.select(F.explode("prefix").alias("tok")).groupBy("tok").agg(F.count("*").alias("m")).where("m > 1")
     entries = heavy.select("rep", F.posexplode("prefix").alias("pos", "tok")).join(frequent, "tok")
     shared = written(entries.join(heavy.select("rep", F.col("n").cast("int").alias("n"), "bits"), "rep"), "lists")
     classes = written(heavy.select("rep", "k1", "k2", "least", "n", "long"), "classes", (parallelism(spark), "rep"))
     drop_written(heavy)
-
-    links = sets = comps = None
-    left = shared
-    for turn, forest in enumerate((True, True, False)):
-        pairs = written(_candidates(left, comps, percent, forest, chunk, turn), "pairs")
-        likely = written(_likely(pairs.select("a", "b").distinct(), classes, percent), "pairs")
-        involved = written(likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct(), "involved")
-        missing = involved if sets is None else written(involved.join(sets.select("rep"), "rep", "left_anti"), "missing")
-        if sets is None or not missing.isEmpty():
-            wanted = classes.join(missing, "rep").select("rep", "k1", "k2")
-            own = rows
-            if turn:  # few: only their documents' texts are read into sets
-                holders = written(base.join(wanted, ["k1", "k2"]).select(F.col("doc_id").alias("holder")).distinct(), "holders")
-                own = rows.join(holders, F.col("doc_id").eqNullSafe(F.col("holder")), "left_semi")
-            more = written(_members(own, wanted, k), "members", (parallelism(spark), "rep"))
-            sets = more if sets is None else sets.union(more)
-        # later rounds have few pairs, so what they need of the sets is small
-        new = written(_verified(likely, sets.join(involved, "rep", "left_semi") if turn else sets, percent), "links")
-        links = new if links is None else links.union(new)
-        comps = written(components(links), "components")
-        failed = pairs.where("tok is not null").join(new, ["a", "b"], "left_anti").select("tok").distinct()
-        still = shared.where(F.col("m") > min(SMALL, chunk)).join(failed.withColumn("open", F.lit(True)), "tok", "left").where(F.col("open") | (F.col("m") > chunk)).drop("open")
-        left = written(still, "lists")
-        drop_written(pairs)
-        drop_written(likely)
-        if left.isEmpty():
-            break
+    free_shuffles(spark)
+
+    # short lists whole, and a forest of each longer one
+    sets = _Sets(rows, base, classes, k)
+    tried = written(_candidates(shared, None, percent, True, chunk), "pairs")
+    likely = written(_likely(tried, classes, percent), "likely")
+    measured = _measured(likely, sets.of(written(_ends(likely), "ends")))
+    links = written(measured.where(_links(F.col("apart"), F.col("total"), percent)).select("a", "b"), "links")
+    comps = written(components(links), "components")
+    # what is left of the longer lists: pairs across groups
+    more = _candidates(shared.where(F.col("m") > min(SMALL, chunk)), comps, percent, False, chunk).join(tried, ["a", "b"], "left_anti")
+    more = written(_likely(written(more, "pairs"), classes, percent), "likely")
+    if not more.isEmpty():
+        comps = written(components(links.union(written(_derived(more, comps, sets, percent), "links"))), "components")
 
     group = classes.select("rep", "k1", "k2", "least").join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("group", F.coalesce("component_id", "rep")).drop("component_id")
     names = group.groupBy("group").agg(F.min("least").alias("component_id"))

@@ -12,17 +12,18 @@ Training may use a bounded sample: at most about `sample_docs` labelled document
 a hash of the text (whole texts).  Counting runs on the executors, into a fixed number of buckets of hashed n-grams.
 
 Defined results: null text, or text without a letter, is `und` with score 0; a language with no training
-text is never predicted; without any labelled row everything is `und`; repeated rows give repeated rows; an
-empty table gives an empty table.  Identifier, source and language columns never enter a prediction.
+text is never predicted; without any labelled row everything is `und`; of languages with equally many letters the
+first by name is it; texts of any length are read whole; repeated rows give repeated rows; an empty table gives an
+empty table.  Identifier, source and language columns never enter a prediction.
 """
 
 import bisect
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +41,8 @@ SCRIPTS = [
 _STARTS = np.array([s for s, _, _ in SCRIPTS])
 _ENDS = np.array([e for _, e, _ in SCRIPTS])
 _NAMES = np.array([n for _, _, n in SCRIPTS])
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Words are runs of letters (Unicode category L); digits, fractions and roman numerals are none.
+LETTERS = regex.compile(r"\p{L}+")
 UNDETERMINED = "und"
 #: Buckets of hashed n-grams, the longest n-gram, and bytes of text whose words are scored at once.
 BUCKETS, LONGEST = 1 << 17, 3

@@ -227,6 +227,46 @@ def test_jaccard_of_odd_rows(odd, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_each_candidate_pair_comes_once(spark, near_copies, monkeypatch):
+    """Per round as many rows as pairs, no pair in both rounds, and every link among them or within a group."""
+    rounds, plain = [], jaccard_join._candidates
+
+    def watched(*args):
+        rounds.append([tuple(r) for r in plain(*args).collect()])
+        return plain(*args)
+
+    monkeypatch.setattr(jaccard_join, "_candidates", watched)
+    assert sorted((tuple(r) for r in jaccard_join.jaccard_components(frame(spark, near_copies), 2, 50).collect()), key=repr) == plain_groups(near_copies, 2, 50)
+    assert all(len(set(pairs)) == len(pairs) and all(a < b for a, b in pairs) for pairs in rounds) and rounds[0]
+
+
+def test_blocks_skip_by_position_and_lose_nothing():
+    rng = np.random.default_rng(5)
+    n = np.sort(rng.integers(20, 60, 300))
+    pos = (rng.random(300) * jaccard_join.prefix_length(60, 80)).astype(np.int64) % n
+    x = {"n": n, "pos": pos, "comp": np.arange(300), "off": np.ones(300, bool), "side": np.zeros(300, int), "bits": np.zeros((300, 4), np.uint64)}
+    lists = jaccard_join.Lists(80, False)
+    i, j = lists._blocks(x, 0, 300)
+    a, b = np.triu_indices(300, 1)
+    keep = lists.bound(x, a, b)
+    assert sorted(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist())) == list(zip(a[keep].tolist(), b[keep].tolist())) and 0 < keep.sum() < len(a)
+
+
+def test_links_from_leaders_distances(spark):
+    """Sets of one leader that link, that do not, and that only their sets can tell."""
+    sets = {1: range(100), 2: range(1, 101), 3: range(30, 130), 4: range(31, 131), 5: range(12, 112), 6: range(14, 114), 7: range(15, 115)}
+    pack = lambda m: np.array(sorted(m), np.uint64).tobytes()
+    known = jaccard_join._Sets(None, None, spark.createDataFrame([(r, len(m)) for r, m in sets.items()], "rep long, n long"), 1)
+    known.known = spark.createDataFrame([(r, pack(m)) for r, m in sets.items()], "rep long, set binary")
+    comps = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5), (7, 5)], "id long, component_id long")
+    pairs = [(1, 3), (2, 4), (1, 5), (2, 5), (2, 6), (2, 7)]
+    got = {tuple(r) for r in jaccard_join._derived(spark.createDataFrame(pairs, "a long, b long"), comps, known, 80).collect()}
+    linked = lambda a, b: 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b]))
+    group = {r["id"]: r["component_id"] for r in comps.collect()}
+    assert {(a, b) for a, b in got if group[a] != group[b]} == {(a, b) for a, b in pairs if linked(a, b)} == {(2, 5)}
+    assert all(linked(a, b) for a, b in got)
+
+
 def test_prefixes_and_bounds():
     for n, m in itertools.product(range(1, 60), repeat=2):
         least = jaccard_join.needed(n, m, 80)

@@ -272,6 +272,42 @@ def test_languages(spark, empty):
     assert language_id.identify(empty, model).count() == 0
 
 
+def test_only_letters_are_letters(spark):
+    """Superscripts, fractions and roman numerals are no letters; marks and modifiers by themselves neither."""
+    model = language_id.train(spark.createDataFrame([("the cat sat on the mat", "en"), ("der hund und die katze", "de")], "text string, lang string"))
+    assert [model.predict([t])[0][:2] for t in ("² ½", "Ⅷ", "٣٤", "_ - 9", "\u0301")] == [("und", 0.0)] * 5
+    assert model.predict(["the ² cat"])[0][0] == "en"
+
+
+def plain_word_score(model_counts, word):
+    """Sum of log probabilities of a word's n-grams, n-gram by n-gram."""
+    import math
+
+    total, edged = 0.0, f"<{word}>"
+    grams = list(word) + [edged[i : i + n] for n in (2, 3) for i in range(len(edged) - n + 1)]
+    for g in grams:
+        total += math.log(model_counts[g])
+    return total
+
+
+def test_scores_are_sums_over_ngrams():
+    """Scores of words against a table of n-grams written out: counts plus one over all counts plus buckets."""
+    words = ["ab", "ba", "abab", "é"]
+    rng = np.random.default_rng(2)
+    counts = rng.integers(0, 9, (language_id.BUCKETS, 2)).astype(float)
+    model = language_id.LanguageModel(["aa", "bb"], counts, {"latin": ["aa", "bb"]})
+    for word in words:
+        alone = {}
+        for g in set(list(word) + [f"<{word}>"[i : i + n] for n in (2, 3) for i in range(len(word) + 3 - n)]):
+            h = np.uint64(0)
+            for i, ch in enumerate(g):
+                h = h + np.uint64(ord(ch)) * language_id._STEPS[i]
+            alone[g] = int(language_id.mixed(np.array([h + np.uint64(len(g) - 1)]))[0] >> np.uint64(64 - 17))
+        want = [plain_word_score({g: (counts[b, k] + 1) / (counts[:, k].sum() + language_id.BUCKETS) for g, b in alone.items()}, word) for k in (0, 1)]
+        got = model.scores([word])[0]
+        assert np.allclose(got, np.array(want) - max(want))
+
+
 def test_a_rare_language_is_known(spark):
     """Four languages of 600 documents and a fifth of 10 (0.4% of the script's words): its own texts are its own."""
     rng = random.Random(11)
