@@ -8,8 +8,12 @@ report, becomes a span only when a part of a complementary kind is linked to it.
 
 Spans are code points, end exclusive: kind:start:end.  Order: by start, then kind as listed in KINDS.
 
-Defined results: null text counts as empty; empty text has no spans; repeated rows give repeated rows; an
-empty table gives an empty table; other columns are not read.
+Every expression reads a run of characters once, so the time is linear in the text, whatever its length or its
+characters: runs are taken possessively, a URL is read from its sign outwards, and the assignments' blanks cannot
+stretch over one another.
+
+Defined results: null text counts as empty; empty text has no spans; of spans with one start and kind the shorter
+comes first; repeated rows give repeated rows; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,20 +42,25 @@ ASSIGN_KEYS = ("passw", "secret", "token", "api")
 PEM = re.compile(r"-----(BEGIN|END) ((?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?)-----")
 #: Lines of a key whose END line is missing: headers and base64, the last line of any length.
 PEM_BODY = re.compile(r"""(?:(?:\s|\\[nr])*+(?:(?:Proc-Type|DEK-Info)[^\n]*+|[A-Za-z0-9+/]{16,}+={0,2}(?=[\x20\t]*(?:[\r\n\\"'`,<]|\Z))))*+(?:(?:[\r\n]|\\[nr])++[A-Za-z0-9+/]++={0,2}(?=[\x20\t]*(?:[\r\n\\"'`,<]|\Z)))?""")
-TOKEN = re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})")
-TOKEN_KEYS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_live_", "eyJ")
+TOKEN = re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_live_[A-Za-z0-9]{16,}+)")
+TOKEN_KEYS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_live_")
+#: Three-part tokens, read from their dots: parts of maximal runs of the alphabet and dots.
+JWT_RUN, JWT_LEAST = re.compile(r"[A-Za-z0-9_.-]++"), 10
 #: Weak candidates.  A key word may be part of a longer name (DB_HOST, aws_secret_access_key, privateKey), at a sign or a change of case.
 _FROM = r"(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])))"
 _ON = r"""(?:[_.-][A-Za-z0-9_.-]{0,64}|[0-9][A-Za-z0-9_.-]{0,64}|(?-i:(?<=[a-z])[A-Z][A-Za-z0-9_.-]{0,64}))?["']?\x20*[:=]\x20*["']?"""
 WEAK_USER = re.compile(_FROM + r"(?:user(?:name)?|login|client_id|account)" + _ON + r"([A-Za-z0-9._@-]{3,})", re.IGNORECASE | re.ASCII)
 WEAK_SECRET = re.compile(_FROM + r"(?:key|pass(?:w(?:or)?d|phrase)?|pwd|auth|credential|secret|token)(?![_.-]?id\b)" + _ON + r"([A-Za-z0-9+/_.=-]{8,})", re.IGNORECASE | re.ASCII)
-WEAK_ENDPOINT = re.compile(_FROM + r"(?:host|endpoint|server|region)" + _ON + r"""([A-Za-z0-9.:/_-]{4,})|\b[a-z][a-z0-9+.-]{0,63}://[^\s"'<>]+""", re.IGNORECASE | re.ASCII)
+WEAK_ENDPOINT = re.compile(_FROM + r"(?:host|endpoint|server|region)" + _ON + r"""([A-Za-z0-9.:/_-]{4,})""", re.IGNORECASE | re.ASCII)
+#: URLs: the sign is looked for first, then the scheme before it, then the rest after it.
+URL_REST, SCHEME = re.compile(r"""[^\s"'<>]+"""), re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
+SCHEME_MOST = 64
 #: A long token that stands free; it must also be mixed() to count.
-WEAK_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
+WEAK_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
 TOKEN_BITS = 3.7
-WEAK_KEYS = ("user", "login", "client_id", "account", "key", "pass", "pwd", "auth", "credential", "host", "endpoint", "server", "region", "secret", "token", "://")
-#: Which part of a credential a kind is.
-PART = {"assign": "secret", "access": "id", "hex": "secret", "pem": "secret", "token": "secret", "weak_user": "id", "weak_secret": "secret", "weak_endpoint": "endpoint", "weak_token": "secret"}
+WEAK_KEYS = ("user", "login", "client_id", "account", "key", "pass", "pwd", "auth", "credential", "host", "endpoint", "server", "region", "secret", "token")
+#: Which part of a credential a kind is.  A bare run of hexadecimal digits is none: git hashes and digests are such.
+PART = {"assign": "secret", "access": "id", "hex": None, "pem": "secret", "token": "secret", "weak_user": "id", "weak_secret": "secret", "weak_endpoint": "endpoint", "weak_token": "secret"}
 #: Parts that make a weak one of the key's part worth a report.
 COMPLEMENT = {"id": ("secret",), "secret": ("id", "endpoint"), "endpoint": ("secret",)}
 
@@ -72,10 +81,11 @@ def base_spans(text: str) -> list[Span]:
 
 def mixed(token: str) -> bool:
     """Whether a token has digits, small and capital letters, and the entropy of a random one."""
-    if not (re.search("[0-9]", token) and re.search("[a-z].*[a-z]", token) and re.search("[A-Z].*[A-Z]", token)):
+    n, seen = len(token), Counter(token)
+    kinds = [sum(c for ch, c in seen.items() if test(ch)) for test in (str.isdigit, str.islower, str.isupper)]
+    if kinds[0] < 1 or kinds[1] < 2 or kinds[2] < 2:
         return False
-    n = len(token)
-    return -sum(c / n * math.log2(c / n) for c in Counter(token).values()) >= TOKEN_BITS
+    return -sum(c / n * math.log2(c / n) for c in seen.values()) >= TOKEN_BITS
 
 
 def pem_spans(text: str) -> list[Span]:
@@ -89,6 +99,47 @@ def pem_spans(text: str) -> list[Span]:
     return out
 
 
+def jwt_spans(text: str) -> list[Span]:
+    """Three parts of JWT_LEAST characters or more, joined by dots, the first from an eyJ at a word's start on; leftmost, without overlap."""
+    out: list[Span] = []
+    for m in JWT_RUN.finditer(text):
+        if "eyJ" not in m[0]:
+            continue
+        at, starts = m.start(), []
+        for part in m[0].split("."):
+            starts.append((at, part))
+            at += len(part) + 1
+        i = 0
+        while i + 2 < len(starts):
+            (at, part), after = starts[i], starts[i + 1 : i + 3]
+            k = part.find("eyJ")
+            while k > 0 and (part[k - 1].isalnum() or part[k - 1] == "_"):
+                k = part.find("eyJ", k + 1)
+            if k >= 0 and len(part) - k >= 3 + JWT_LEAST and all(len(p) >= JWT_LEAST for _, p in after):
+                out.append((at + k, after[1][0] + len(after[1][1]), "token"))
+                i += 3
+            else:
+                i += 1
+    return out
+
+
+def url_spans(text: str) -> list[Span]:
+    """URLs: at each :// the scheme's letters before it (64 at most) and what follows up to a blank or a quote."""
+    out: list[Span] = []
+    at = text.find("://")
+    while at >= 0:
+        rest = URL_REST.match(text, at + 3)
+        end = at + 3
+        if rest:
+            before = text[max(0, at - SCHEME_MOST) : at]
+            own = SCHEME.search(before, max((i + 1 for i, ch in enumerate(before) if not (ch.isascii() and (ch.isalnum() or ch in "+.-"))), default=0))
+            if own:
+                out.append((at - len(own[0]), rest.end(), "weak_endpoint"))
+                end = rest.end()
+        at = text.find("://", end)
+    return out
+
+
 def _merged(spans: list[Span]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for s, e, _ in sorted(spans):
@@ -117,7 +168,8 @@ def linked(text: str, strong: list[Span], weak: list[Span], reach: int) -> list[
     weak = [w for w in weak if not inside(w)]
     parts: dict[str, list[tuple[int, int]]] = {"id": [], "secret": [], "endpoint": []}
     for s, e, kind in strong + weak:
-        parts[PART[kind]].append((s, e))
+        if PART[kind]:
+            parts[PART[kind]].append((s, e))
     tops: dict[str, tuple[list[int], list[int]]] = {}
     for name, spans in parts.items():
         spans.sort()
@@ -146,13 +198,17 @@ def secret_spans(text: str | None, reach: int = 200) -> tuple[list[Span], list[S
         strong += pem_spans(text)
     if any(k in text for k in TOKEN_KEYS):
         strong += [(m.start(), m.end(), "token") for m in TOKEN.finditer(text)]
+    if "eyJ" in text:
+        strong += jwt_spans(text)
     weak: list[Span] = []
     if "=" in text or ":" in text:
         low = text.lower()
         if any(k in low for k in WEAK_KEYS):
             for kind, pattern in (("weak_user", WEAK_USER), ("weak_secret", WEAK_SECRET), ("weak_endpoint", WEAK_ENDPOINT)):
                 weak += [(m.start(), m.end(), kind) for m in pattern.finditer(text)]
-    if any(PART[k] != "secret" for _, _, k in strong + weak):
+    if "://" in text:
+        weak += url_spans(text)
+    if any(PART[k] in ("id", "endpoint") for _, _, k in strong + weak):
         # a token within a name's value or a URL is no token of its own
         covered = _merged(weak)
         begins = [s for s, _ in covered]
