@@ -6,11 +6,13 @@ stage's result as Parquet in the shared folder and reads it again for the next o
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.byte_bpe import byte_bpe
-from strandline.llm.decontamination import contaminated
+from strandline.llm.decontamination import uncontaminated
 from strandline.llm.jaccard_join import jaccard_components
 from strandline.llm.language_id import UNDETERMINED, predicted, train
 from strandline.llm.secret_scan import redact_secrets
@@ -21,30 +23,43 @@ LEAST_SCORE = 0.25
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters, without text, or without a language; the model learns from the labelled ones."""
-    found = predicted(F.col("text"), train(docs), spark)
-    return docs.withColumn("_found", found).where((F.col("_found.lang_pred") != UNDETERMINED) & (F.col("_found.score") >= LEAST_SCORE)).drop("_found")
+    """Rejects documents without letters, without text, or without a language; the model learns from the labelled ones.
+
+    Null, empty and letterless texts go; repeated rows stay or go together; rows without a label are judged like the
+    others; with no labelled row at all no language is known and every row goes; an empty table stays empty.
+    """
+    verdict = f"_found_{uuid.uuid4().hex}"  # no column of the caller's has this name
+    found = docs.withColumn(verdict, predicted(F.col("text"), train(docs), spark))
+    return found.where((F.col(f"{verdict}.lang_pred") != UNDETERMINED) & (F.col(f"{verdict}.score") >= LEAST_SCORE)).drop(verdict)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (5-word shingles, similarity 0.8) the document with the smallest doc_id stays."""
+    """Of each group of near-duplicates (5-word shingles, similarity 0.8) the document with the smallest doc_id stays.
+
+    Null and wordless texts are in no group and stay, and so do rows with a null doc_id, which cannot be named.  Rows that
+    repeat a doc_id are one document: all of them stay or, where one of them has a smaller partner, go.
+    """
     groups = jaccard_components(docs)
     gone = groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return docs.where(~contaminated(F.col("text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    """Documents that hold a benchmark item go; null and wordless texts stay, as all do where the benchmark is empty."""
+    return uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; the documents stay, with n_chars of the new text."""
-    return redact_secrets(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Secrets are replaced by a mark; all documents stay, with n_chars (if there is one) of the new text; null texts stay null."""
+    out = redact_secrets(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers, as binary) and the SHA-256 of the bytes they decode to."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers, as binary) and the SHA-256 of the bytes they decode to.
+
+    One row for each row; null and empty texts have no ids.
+    """
     import public_tokenizers
 
     out = byte_bpe(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)

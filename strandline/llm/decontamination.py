@@ -13,31 +13,36 @@ all, by a running count) need no fingerprint; this loses nothing.
 At the default similarity 0.8 the expected distance of two fingerprints is under 10 bits with a standard deviation
 under 3, so that radius 20 leaves out about 2 in 10,000 pairs that are just similar enough, and fewer of the others.
 
-The benchmark goes to all executors only in slices of at most `max_items` items and `max_bytes` bytes of text; a
-larger one takes several passes over the documents.
+The benchmark goes to all executors only in slices of about `max_items` items and `max_bytes` bytes of text, repeated
+items included; a larger one takes several passes over the documents, one slice and its index at a time.
 
 Defined results: null or wordless texts and items match nothing; null ids are kept as null; repeated rows give
-repeated rows; repeated items each match; an empty table on either side gives an empty result; other columns are
-not read.
+repeated rows; repeated items each match; of windows with one similarity the first is reported; texts of any length are
+read whole, 4,096 windows at a time; an empty table on either side gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import bytes_of, frugal, id_text, slices
+from strandline.llm.common import Bounded, bytes_of, frugal, id_text, slices
 from strandline.llm.shingles import shingle_hashes
+from strandline.storage import drop_written, written
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 20
 MAX_ITEMS, MAX_BYTES = 20_000, 16 << 20
 BLOCKS = 8
+#: Lists of near items that are held at once, of 2,048 that there are.
+NEAR_LISTS = 512
 _SEPARATORS = bytes(b for b in range(128) if not chr(b).isalnum())
 _BLANKS = bytes.maketrans(_SEPARATORS, b" " * len(_SEPARATORS))
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -64,6 +69,29 @@ def similarity(a: Counter, b: Counter) -> float:
     return low / (sum(a.values()) + sum(b.values()) - low)
 
 
+class MultiIndex:
+    """For each block of the fingerprints, the items by the block's value: 4 bytes an item and block, however many values there are."""
+
+    def __init__(self, prints: np.ndarray, radius: int):
+        self.prints, self.least = prints, radius // BLOCKS
+        self.order = [np.argsort(prints[:, b], kind="stable").astype(np.int32) for b in range(BLOCKS)]
+        self.starts = [np.searchsorted(prints[o, b], np.arange(257)) for b, o in enumerate(self.order)]
+        self.near = Bounded(self._near, NEAR_LISTS)
+
+    def _near(self, block_value: tuple[int, int]) -> np.ndarray:
+        """Items whose block lies within reach of a value, from the lists of all values within reach."""
+        b, value = block_value
+        starts, order = self.starts[b], self.order[b]
+        values = np.flatnonzero(_POPCOUNT[np.arange(256) ^ value] <= self.least)
+        return np.concatenate([order[starts[v] : starts[v + 1]] for v in values])
+
+    def within(self, fingerprint: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Items within the radius, and how many bits differ: some block of theirs differs in no more than radius // BLOCKS bits."""
+        some = np.unique(np.concatenate([self.near[b, int(fingerprint[b])] for b in range(BLOCKS)]))
+        apart = _POPCOUNT[self.prints[some] ^ fingerprint].sum(axis=1, dtype=np.int64)
+        return some[apart <= radius], apart[apart <= radius]
+
+
 class BenchmarkIndex:
     """Items by their number of words; for each length, fingerprints and the multi-index over their blocks."""
 
@@ -76,12 +104,9 @@ class BenchmarkIndex:
                 by_length.setdefault(len(words), []).append((item_id, shingle_hashes(words, k)))
         self.groups = {}
         known = []
-        near = _POPCOUNT[np.arange(256)[:, None] ^ np.arange(256)] <= radius // BLOCKS
         for length, members in sorted(by_length.items()):
             prints = np.concatenate([window_fingerprints(h, np.array([0]), len(h)) for _, h in members])
-            # tables[b][v]: the items whose block b lies within radius // BLOCKS of the value v
-            tables = np.stack([near[:, prints[:, b]] for b in range(BLOCKS)])
-            self.groups[length] = ([i for i, _ in members], [Counter(h.tolist()) for _, h in members], prints, tables)
+            self.groups[length] = ([i for i, _ in members], [Counter(h.tolist()) for _, h in members], prints, MultiIndex(prints, radius))
             known += [h for _, h in members]
         self.known = np.unique(np.concatenate(known)) if known else np.zeros(0, np.uint64)
         # a small bit table rejects most shingles before the search in the sorted array
@@ -130,34 +155,37 @@ class BenchmarkIndex:
         return found
 
     def _verified(self, h: np.ndarray, starts: np.ndarray, q: int, width: int, group: tuple) -> list[tuple]:
-        ids, counters, prints, tables = group
+        ids, counters, _, index = group
         low, high = int(starts[0]), int(starts[-1]) + q
         best: dict[int, tuple] = {}
         for begin in range(0, len(starts), 4096):
             some = starts[begin : begin + 4096]
             own = window_fingerprints(h[low:high], some - low, q)
-            near = np.zeros((len(some), len(ids)), bool)
-            for b in range(BLOCKS):
-                near |= tables[b][own[:, b]]
-            for w, i in zip(*np.nonzero(near)):
-                bits = int(_POPCOUNT[own[w] ^ prints[i]].sum())
-                if bits > self.radius:
+            for s, fingerprint in zip(some.tolist(), own):
+                items, apart = index.within(fingerprint, self.radius)
+                if not len(items):
                     continue
-                s = int(some[w])
-                value = similarity(Counter(h[s : s + q].tolist()), counters[i])
-                if value >= self.least - 1e-12 and (i not in best or value > best[i][1]):
-                    best[i] = (ids[i], round(value, 6), s, width, bits)
+                window = Counter(h[s : s + q].tolist())
+                for i, bits in zip(items.tolist(), apart.tolist()):
+                    value = similarity(window, counters[i])
+                    if value >= self.least - 1e-12 and (i not in best or value > best[i][1]):
+                        best[i] = (ids[i], round(value, 6), s, width, bits)
         return list(best.values())
 
 
-def _slices(benchmark: DataFrame, item_col: str, text_col: str, max_items: int, max_bytes: int) -> list[list[tuple]]:
-    """The benchmark in slices that are small enough to send to every executor, read one after the other."""
+def _slices(benchmark: DataFrame, item_col: str, text_col: str, max_items: int, max_bytes: int) -> Iterator[list[tuple]]:
+    """The benchmark in slices that are small enough to send to every executor, read one after the other.
+
+    Items are dealt by a number of their own, so that equal ones are spread like any others.
+    """
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     n = max(1, math.ceil(1.5 * max(size["n"] / max_items - 0.33, size["bytes"] / max_bytes - 0.33)))
+    numbered = items if n == 1 else written(items.withColumn("_n", F.monotonically_increasing_id()), "items")
     for k in range(n):
-        own = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        own = items if n == 1 else numbered.where(F.pmod(F.xxhash64("_n"), F.lit(n)) == k)
         yield [(r["item_id"], r["text"].encode()) for r in own.orderBy("item_id", "text").collect()]
+    drop_written(numbered)
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, least: float = SIMILARITY, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_items: int = MAX_ITEMS, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -165,9 +193,7 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, lea
     schema = "doc_id long, item_id long, similarity double, first_word long, n_words long, bits long"
     arrow = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("bits", pa.int64())])
 
-    def over(items: list[tuple]) -> DataFrame:
-        sent = docs.sparkSession.sparkContext.broadcast(items)
-
+    def over(sent) -> DataFrame:
         @frugal
         def match(batches):
             index = BenchmarkIndex(sent.value, k, least, radius)
@@ -178,22 +204,41 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, lea
 
         return id_text(docs, id_col, text_col).mapInArrow(match, schema)
 
-    return reduce(DataFrame.unionByName, [over(items) for items in _slices(benchmark, item_col, item_text_col, max_items, max_bytes)])
+    found: list[DataFrame] = []
+    for more, sent in _sent(docs, benchmark, item_col, item_text_col, max_items, max_bytes):
+        found.append(written(over(sent), "matches") if more or found else over(sent))
+    return reduce(DataFrame.unionByName, found)
 
 
-def contaminated(text: Column, benchmark: DataFrame, k: int = SHINGLE, least: float = SIMILARITY, radius: int = RADIUS, item_col: str = "item_id", item_text_col: str = "text", max_items: int = MAX_ITEMS, max_bytes: int = MAX_BYTES) -> Column:
-    """Whether a text holds any item; for filters, without a join."""
-    context = benchmark.sparkSession.sparkContext
-    found = F.lit(False)
-    for items in _slices(benchmark, item_col, item_text_col, max_items, max_bytes):
-        sent = context.broadcast(items)
-        cache: dict[str, BenchmarkIndex] = {}
+def _sent(docs: DataFrame, benchmark: DataFrame, *how) -> Iterator[tuple[bool, Broadcast]]:
+    """Each slice as a broadcast, and whether another one follows; a slice goes from the executors before the next one comes."""
+    slices_ = _slices(benchmark, *how)
+    now = next(slices_)
+    while now is not None:
+        after = next(slices_, None)
+        sent = docs.sparkSession.sparkContext.broadcast(now)
+        yield after is not None, sent
+        if after is not None:
+            sent.unpersist()
+        now = after
 
-        @F.pandas_udf("boolean")
-        def holds(texts, sent=sent, cache=cache):
-            if "index" not in cache:
-                cache["index"] = BenchmarkIndex(sent.value, k, least, radius)
-            return texts.map(lambda t: bool(t) and bool(cache["index"].matches(t.encode())))
 
-        found = found | F.coalesce(holds(text), F.lit(False))
-    return found
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, least: float = SIMILARITY, radius: int = RADIUS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_items: int = MAX_ITEMS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The rows whose text holds no item, with all their columns; null texts stay.  One pass for each slice of the benchmark."""
+    before = None
+    for more, sent in _sent(docs, benchmark, item_col, item_text_col, max_items, max_bytes):
+        held: dict[str, BenchmarkIndex] = {}
+
+        @F.pandas_udf("boolean")
+        def holds(texts, sent=sent, held=held):
+            if "index" not in held:
+                held["index"] = BenchmarkIndex(sent.value, k, least, radius)
+            return texts.map(lambda t: bool(t) and bool(held["index"].matches(t.encode())))
+
+        docs = docs.where(~F.coalesce(holds(F.col(f"`{text_col}`").cast("string")), F.lit(False)))
+        if more:
+            docs, last = written(docs, "uncontaminated"), before
+            before = docs
+            if last is not None:
+                drop_written(last)
+    return docs

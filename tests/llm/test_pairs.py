@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import decontamination, embedding_dedup, jaccard_join, preference_format, substring_dedup
+from strandline.llm.shingles import mixed
 from tests.llm.conftest import ODD
 
 
@@ -97,23 +98,47 @@ def test_decontamination(spark, odd, empty):
     want = plain_matches(docs, items)
     assert got == want and len(want) > 20
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.decontamination(frame(spark, docs), bench, max_items=3).collect()} == want
-    kept = {r["doc_id"] for r in frame(spark, docs).where(~decontamination.contaminated(F.col("text"), bench)).collect()}
-    assert kept == {i for i, _ in docs} - {i for i, _ in want}
+    for options in ({}, {"max_items": 3}):
+        kept = {r["doc_id"] for r in decontamination.uncontaminated(frame(spark, docs), bench, **options).collect()}
+        assert kept == {i for i, _ in docs} - {i for i, _ in want}
     assert decontamination.decontamination(odd, bench.limit(0)).count() == 0
     assert decontamination.decontamination(empty, bench).count() == 0
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.decontamination(odd, bench).collect()} == plain_matches(ODD[:7] + ODD[9:], items)
-    assert odd.where(~decontamination.contaminated(F.col("text"), bench)).count() == len(ODD)
+    assert decontamination.uncontaminated(odd, bench).count() == len(ODD) == decontamination.uncontaminated(odd, bench.limit(0)).count()
 
 
 def test_multi_index_holds_all_within_the_radius():
     rng = np.random.default_rng(1)
-    near = decontamination._POPCOUNT[np.arange(256)[:, None] ^ np.arange(256)] <= decontamination.RADIUS // decontamination.BLOCKS
-    for _ in range(500):
-        a = rng.integers(0, 256, 8, dtype=np.uint8)
-        bits = np.unpackbits(a)
-        bits[rng.choice(64, decontamination.RADIUS, replace=False)] ^= 1
-        b = np.packbits(bits)
-        assert near[a, b].any()
+    prints = rng.integers(0, 256, (400, 8), dtype=np.uint8)
+    index = decontamination.MultiIndex(prints, decontamination.RADIUS)
+    for n in range(200):
+        bits = np.unpackbits(prints[n])
+        bits[rng.choice(64, rng.integers(decontamination.RADIUS + 3), replace=False)] ^= 1
+        asked = np.packbits(bits)
+        apart = np.unpackbits(prints ^ asked, axis=1).sum(axis=1)
+        items, found = index.within(asked, decontamination.RADIUS)
+        assert items.tolist() == np.flatnonzero(apart <= decontamination.RADIUS).tolist() and found.tolist() == apart[items].tolist()
+
+
+def test_recall_of_fingerprints():
+    """Windows just similar enough (0.8 to 0.82) to an item: all but one in a thousand lie within the radius."""
+    rng = np.random.default_rng(6)
+    missed = tried = 0
+    for _ in range(4000):
+        n = int(rng.integers(20, 200))
+        differing = int(n * 0.2 / 1.8)  # of n shingles on either side: n - d in common gives (n - d) / (n + d)
+        item = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        window = np.r_[item[differing:], rng.integers(0, 1 << 63, differing, dtype=np.uint64)]
+        a, b = (decontamination.window_fingerprints(mixed(h), np.array([0]), n)[0] for h in (item, window))
+        tried += 1
+        missed += int(np.unpackbits(a ^ b).sum()) > decontamination.RADIUS
+    assert missed <= 0.001 * tried
+
+
+def test_repeated_items_are_dealt_like_others(spark):
+    same = spark.createDataFrame([(i, "one and the same benchmark item of ten words here") for i in range(40)], "item_id long, text string")
+    parts = list(decontamination._slices(same, "item_id", "text", 10, 1 << 20))
+    assert sum(map(len, parts)) == 40 and max(map(len, parts)) < 40 and len(parts) > 3
 
 
 # 6: embeddings ---------------------------------------------------------------------------------------------
