@@ -6,10 +6,11 @@ import argparse
 import importlib
 import sys
 
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators.lexical_pairs import pairwise, summary
-from strandline.plans.config import configs
+from strandline.plans.config import RunConfig, configs
 from strandline.plans.figure import roc_figure
 from strandline.plans.report import corpus_table, result_tables, roc_table, stacked
 from strandline.plans.run import run
@@ -44,6 +45,19 @@ def _table(text: str) -> dict[str, str]:
     return dict(part.split("=", 1) for part in text.split(","))
 
 
+def run_all(spark: SparkSession, runs: list[RunConfig], tag: str = "") -> list[str]:
+    """Every run of a matrix; the names of those that failed, which the others don't wait for."""
+    failed = []
+    for cfg in runs:
+        try:
+            m = run(spark, cfg, tag=tag)
+            print(cfg.ident(), m["detection_best"]["best_f1"], m["attribution"]["family_acc_on_all_positive"])
+        except Exception as e:  # noqa: BLE001  whatever stops one run
+            failed.append(cfg.ident())
+            print(f"FAILED {cfg.ident()}: {type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}", file=sys.stderr)
+    return failed
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = ship(build("strandline"))
@@ -55,9 +69,7 @@ def main(argv: list[str] | None = None) -> int:
         else:
             print(prepare_versions(*(read_splits(spark, _table(s)) for s in a.source), a.prepared))
     elif a.command == "run":
-        for cfg in configs(load_yaml(a.config)):
-            m = run(spark, cfg, tag=a.tag)
-            print(cfg.ident(), m["detection_best"]["best_f1"], m["attribution"]["family_acc_on_all_positive"])
+        return 1 if run_all(spark, configs(load_yaml(a.config)), a.tag) else 0
     elif a.command == "vary":
         module, _, name = a.function.partition(":")
         docs = load_set(spark, a.prepared, a.original)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import unicodedata
 from functools import reduce
 
@@ -100,9 +101,29 @@ def meta_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit("{}"))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _literal_list(texts: pd.Series) -> pd.Series:
+    """Items of a Python list literal as text, without None; null for anything else."""
+
+    def items(t: str | None) -> list[str] | None:
+        try:
+            found = ast.literal_eval(t.strip()) if t else None
+        except (ValueError, SyntaxError, MemoryError, RecursionError):
+            return None
+        return [str(x) for x in found if x is not None and x == x] if isinstance(found, list) else None
+
+    return texts.map(items)
+
+
 def listlike(c: Column) -> Column:
-    """Cleaned non-empty strings of an array, or of a JSON or Python list literal; else none."""
-    return F.filter(F.transform(F.coalesce(F.from_json(c.cast("string"), ArrayType(StringType())), F.array().cast("array<string>")), clean), lambda x: x != "")
+    """Cleaned non-empty strings of an array, or of a JSON or Python list literal; else none.
+
+    JSON is parsed by the JVM; Python sees only what is no JSON list.
+    """
+    text = c.cast("string")
+    parsed = F.from_json(text, ArrayType(StringType()))
+    other = _literal_list(F.when(parsed.isNull() & F.ltrim(text).startswith("["), text))
+    return F.filter(F.transform(F.coalesce(parsed, other, F.array().cast("array<string>")), clean), lambda x: x != "")
 
 
 def listlike_of(df: DataFrame, name: str) -> Column:

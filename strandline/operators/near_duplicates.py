@@ -37,33 +37,42 @@ def document_shingles(docs: DataFrame, k: int = SHINGLE, share: float = BOILERPL
     return rows.join(boilerplate(docs, rows, share, sample, key=key), "h", "left_anti").select(key, "h")
 
 
-def _prefix(rows: DataFrame, tau: float, key: str) -> DataFrame:
-    """Of each document's shingles the rarest ones, of which two documents with similarity tau share at least one."""
-    df = rows.groupBy("h").agg(F.count("*").alias("df"))
-    ordered = rows.join(df, "h")
-    n = Window.partitionBy(key)
-    place = F.row_number().over(Window.partitionBy(key).orderBy("df", "h"))
-    return ordered.withColumn("n", F.count("*").over(n)).withColumn("place", place).where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * tau) + 1) & (F.col("df") > 1)).select(key, "h", "n")
+def _prefix(rows: DataFrame, sizes: DataFrame, tau: float, key: str) -> DataFrame:
+    """key, h, n, place: of each document's n shingles the rarest ones, of which two documents with similarity tau share at least one.
+
+    Only shingles of two documents or more are ordered: the others are the rarest, and so come before them.
+    """
+    df = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy(key)
+    ordered = rows.join(df, "h").withColumn("at", F.row_number().over(own.orderBy("df", "h"))).withColumn("shared", F.count("*").over(own))
+    placed = ordered.join(sizes, key).withColumn("place", F.col("n") - F.col("shared") + F.col("at"))
+    return placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * tau) + 1).select(key, "h", "n", "place")
 
 
 def near_duplicate_pairs(rows: DataFrame, tau: float = TAU, key: str = "forum_id") -> DataFrame:
     """a < b, jaccard: all pairs whose shingle sets have Jaccard similarity tau or more.
 
     Documents with equal sets are joined through one of them (their pairs with one another are stated as pairs with the
-    smallest); candidates share one of the rarest shingles (prefix filter), which loses no pair; overlaps are then counted
-    over all shingles of the candidates only.
+    smallest).  Candidates share one of the rarest shingles (prefix filter) at places that leave enough room for the rest of
+    the overlap on either side (at the first shingle that a pair shares, which is one of those, the bound holds); neither
+    loses a pair.  The overlap is then taken once for each candidate, from the two sets as arrays.
     """
     sets = rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("s2"))
     classes = written(sets.groupBy("n", "s1", "s2").agg(F.min(key).alias("first")).join(sets, ["n", "s1", "s2"]).select(key, "first", "n"), "classes")
     equal = classes.where(F.col(key) != F.col("first")).select(F.col("first").alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("jaccard"))
-    own = written(rows.join(classes.where(F.col(key) == F.col("first")).select(key), key, "left_semi"), "shingles")
-    prefix = written(_prefix(own, tau, key), "prefixes")
-    left = prefix.select("h", F.col(key).alias("a"), F.col("n").alias("na"))
-    right = prefix.select("h", F.col(key).alias("b"), F.col("n").alias("nb"))
-    bounded = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * tau)
-    candidates = left.join(right, "h").where(bounded).select("a", "b", "na", "nb").distinct()
-    common = candidates.join(own.select(F.col(key).alias("a"), "h"), "a").join(own.select(F.col(key).alias("b"), "h"), ["b", "h"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    scored = common.withColumn("jaccard", F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).where(F.col("jaccard") >= tau)
+    sizes = classes.where(F.col(key) == F.col("first")).select(key, "n")
+    own = rows.join(sizes.select(key), key, "left_semi")
+    prefix = written(_prefix(own, sizes, tau, key), "prefixes")
+    left = prefix.select("h", F.col(key).alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
+    right = prefix.select("h", F.col(key).alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    least = F.ceil((F.col("na") + F.col("nb")) * tau / (1 + tau) - 1e-9)
+    room = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    bounded = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * tau) & (room >= least)
+    candidates = written(left.join(right, "h").where(bounded).select("a", "b").distinct(), "candidates")
+    ends = candidates.select(F.col("a").alias(key)).union(candidates.select("b")).distinct()
+    held = written(own.join(ends, key, "left_semi").groupBy(key).agg(F.collect_list("h").alias("hs")), "sets")
+    both = candidates.join(held.select(F.col(key).alias("a"), F.col("hs").alias("x")), "a").join(held.select(F.col(key).alias("b"), F.col("hs").alias("y")), "b")
+    scored = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("t")).withColumn("jaccard", F.col("c") / (F.col("t") - F.col("c"))).where(F.col("jaccard") >= tau)
     return scored.select("a", "b", "jaccard").union(equal)
 
 

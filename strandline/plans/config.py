@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from dataclasses import asdict, dataclass, field
+import json
+from dataclasses import dataclass, field, fields
 
 from strandline.functions.text import sanitized
 
@@ -17,6 +18,10 @@ DATASETS: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 
 
+def _fingerprint(text: str) -> str:
+    return hashlib.sha1(text.encode()).hexdigest()[:8]
+
+
 @dataclass(frozen=True)
 class RunConfig:
     """One experiment; unset sets are the dataset's defaults."""
@@ -49,15 +54,25 @@ class RunConfig:
         return DATASETS[self.dataset][1] if self.variant_sets is None else self.variant_sets
 
     def ident(self, method: str | None = None) -> str:
-        """First level of a run's folder; other variants than the default ones leave a fingerprint."""
-        other = "" if self.variants == DATASETS[self.dataset][1] else "__var" + hashlib.sha1("|".join(self.variants).encode()).hexdigest()[:8]
-        return sanitized(f"{method or self.method}__{self.original}__s{self.split_seed}{other}" + "__inclorig" * self.include_original_as_positive)
+        """First level of a run's folder: method, original set, seed, and whatever of the rest is not the default.
+
+        Runs that differ in anything that changes their result have different names.
+        """
+        marks = {
+            f"__r{self.split_ratio:g}": self.split_ratio != 0.5,
+            f"__var{_fingerprint('|'.join(self.variants))}": self.variants != DATASETS[self.dataset][1],
+            f"__par{_fingerprint(json.dumps(self.method_params, sort_keys=True, default=str))}": bool(self.method_params),
+            "__inclorig": self.include_original_as_positive,
+        }
+        return sanitized("__".join((method or self.method, self.original, f"s{self.split_seed}")) + "".join(m for m, on in marks.items() if on))
 
     def folder(self, tag: str = "") -> str:
         return f"{self.artifacts_dir}/runs/{self.ident()}/{sanitized(tag) if tag else 'default'}"
 
     def as_dict(self) -> dict:
-        return asdict(self) | {"_resolved": {"original_set": self.original, "variant_sets": list(self.variants), "run_ident": self.ident()}}
+        """All fields, and what they stand for."""
+        resolved = dict(original_set=self.original, variant_sets=[*self.variants], run_ident=self.ident())
+        return {f.name: getattr(self, f.name) for f in fields(self)} | {"_resolved": resolved}
 
 
 def configs(spec: dict) -> list[RunConfig]:

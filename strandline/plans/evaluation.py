@@ -110,14 +110,14 @@ def evaluate(truth: DataFrame, matches: DataFrame, threshold: float | None = Non
 
 
 def errors_by_family(evaluated: DataFrame) -> DataFrame:
-    """Detection and attribution of each family, and how many benign queries it attracts."""
+    """Detection of each family, attribution of its detected queries, and how many benign queries it attracts."""
     pos, det = F.col("is_positive"), F.col("pred_detected")
     right = det & F.coalesce(F.col("pred_family_id") == F.col("target_family_id"), F.lit(False))
     own = evaluated.where(pos).groupBy(F.col("target_family_id").alias("family_id")).agg(F.count("*").alias("n_positive_total"), F.count_if(det).alias("n_positive_detected"), F.count_if(right).alias("n_attribution_correct"))
     lured = evaluated.where(~pos & det & F.col("pred_family_id").isNotNull()).groupBy(F.col("pred_family_id").alias("family_id")).agg(F.count("*").alias("n_false_attraction"))
     names = ["n_positive_total", "n_positive_detected", "n_attribution_correct", "n_false_attraction"]
     joined = own.join(lured, "family_id", "full").select("family_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in names))
-    rated = joined.withColumns({"detection_rate": safe_ratio(F.col("n_positive_detected"), F.col("n_positive_total")), "attribution_rate": safe_ratio(F.col("n_attribution_correct"), F.col("n_positive_total"))})
+    rated = joined.withColumns({"detection_rate": safe_ratio(F.col("n_positive_detected"), F.col("n_positive_total")), "attribution_rate": safe_ratio(F.col("n_attribution_correct"), F.col("n_positive_detected"))})
     return rated.orderBy(F.desc("n_positive_total"), F.desc("n_false_attraction"), "family_id")
 
 

@@ -12,14 +12,14 @@ VOLUME = r"_(\d+)_"
 
 
 def merged_volumes(works: DataFrame) -> DataFrame:
-    """Volumes of one work (`<base>_<n>_<rest>`) as one, in order of volume; translators are the first volume's (B5).  Others stay."""
+    """Volumes of one work (`<base>_<n>_<rest>`) as one, in order of volume, with the translators of all of them (B5).  Others stay."""
     base = F.regexp_extract("work_id", r"^(.*?)_\d+_", 1)
     rows = works.withColumns({"_vol": F.regexp_extract("work_id", VOLUME, 1), "_base": base})
     none = F.array().cast("array<string>")
     volume = F.struct(F.col("_vol").try_cast("long").alias("n"), "work_id", "gt_paras", "source_paras", F.map_entries("translators").alias("t"))
     grouped = rows.where("_vol <> ''").groupBy("_base").agg(F.sort_array(F.collect_list(volume)).alias("v"))
     many = grouped.where(F.size("v") > 1)
-    keys = F.array_sort(F.transform(F.element_at("v", 1)["t"], lambda e: e["key"]))
+    keys = F.array_sort(F.array_distinct(F.flatten(F.transform("v", lambda x: F.transform(x["t"], lambda e: e["key"])))))
 
     def paras(k):
         return F.flatten(F.transform("v", lambda x: F.coalesce(F.try_element_at(F.map_from_entries(x["t"]), k), none)))

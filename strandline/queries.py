@@ -201,14 +201,15 @@ def j9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.nearest(v, v.where("vec_id % 50 = 0"), k=3, exclude_self=True).withColumn("score", F.round("score", 6))
 
 
-BM25 = """q AS (SELECT CAST(doc_id AS VARCHAR) AS q, source AS qf, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 2 AND w NOT IN ({0}))) AS term FROM documents),
-qt AS (SELECT q, qf, term, count(*) AS qtf FROM q GROUP BY ALL),
-r AS (SELECT CAST(item_id AS VARCHAR) AS r, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 2 AND w NOT IN ({0}))) AS term FROM benchmark),
-tf AS (SELECT r, term, count(*) AS tf FROM r GROUP BY ALL), dl AS (SELECT r, sum(tf) AS dl FROM tf GROUP BY r), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-n AS (SELECT count(*) AS n FROM benchmark), av AS (SELECT sum(dl) / (SELECT n FROM n) AS avgdl FROM dl),
-w AS (SELECT tf.term, tf.r, ln(1 + (n.n - df.df + 0.5) / (df.df + 0.5)) * tf.tf / (tf.tf + 1.5 * (1 - 0.75 + 0.75 * dl.dl / av.avgdl)) AS w FROM tf JOIN dl USING (r) JOIN df USING (term), n, av),
-s AS (SELECT q, qf, r, round(sum(qtf * w), 6) AS score FROM qt JOIN w USING (term) GROUP BY q, qf, r),
-k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, r) AS rank FROM s WHERE score > 0)""".format(", ".join(f"'{w}'" for w in matching.STOP_WORDS))
+_TERMS = "list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 2 AND w NOT IN ({0}))".format(", ".join(f"'{w}'" for w in matching.STOP_WORDS))
+#: BM25 of {queries} against {reference}, both with id, fam and text: k has the rank of each pair with a positive score.
+BM25_OF = (
+    "qw AS (SELECT id AS q, unnest(" + _TERMS + ") AS term FROM {queries}), qt AS (SELECT q, term, count(*) AS qtf FROM qw GROUP BY ALL), rw AS (SELECT id AS r, fam AS rf, unnest(" + _TERMS + ") AS term FROM {reference}),\n"
+    "tf AS (SELECT r, rf, term, count(*) AS tf FROM rw GROUP BY ALL), dl AS (SELECT r, sum(tf) AS dl FROM tf GROUP BY r), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), nn AS (SELECT count(*) AS n FROM {reference}), av AS (SELECT sum(dl) / (SELECT n FROM nn) AS avgdl FROM dl),\n"
+    "wt AS (SELECT tf.term, tf.r, tf.rf, ln(1 + (nn.n - df.df + 0.5) / (df.df + 0.5)) * tf.tf / (tf.tf + 1.5 * (1 - 0.75 + 0.75 * dl.dl / av.avgdl)) AS w FROM tf JOIN dl USING (r) JOIN df USING (term), nn, av),\n"
+    "sc AS (SELECT q, r, rf, round(sum(qtf * w), 6) AS score FROM qt JOIN wt USING (term) GROUP BY q, r, rf), k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, r) AS rank FROM sc WHERE score > 0)"
+)
+BM25 = BM25_OF.format(queries="(SELECT CAST(doc_id AS VARCHAR) AS id, source AS fam, text FROM documents)", reference="(SELECT CAST(item_id AS VARCHAR) AS id, 'item' || item_id AS fam, text FROM benchmark)")
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,12 +228,6 @@ def j11_fuzzy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.fuzzy_matches(docs, docs.where(asked), exclude_self=True)
 
 
-@query()
-def k1_vector_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus(spark, sf_dir)
-    return matching.vector_matches(_items(spark, sf_dir), docs.where(F.col("doc_id").cast("long") % 50 == 0)).withColumn("confidence", F.round("confidence", 6))
-
-
 # ---- near-duplicates ----------------------------------------------------------------------------------------
 
 #: Classes of equal sets are named by their smallest id; pairs run between those, and from them to their members.
@@ -331,7 +326,7 @@ def a2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {EVALUATED}, o AS (SELECT source AS family_id, count(*) AS a, count(*) FILTER (WHERE det) AS b, count(*) FILTER (WHERE det AND pf = source) AS c FROM e WHERE pos GROUP BY 1),
 l AS (SELECT pf AS family_id, count(*) AS f FROM e WHERE NOT pos AND det AND pf IS NOT NULL GROUP BY 1), j AS (SELECT family_id, coalesce(a, 0) AS a, coalesce(b, 0) AS b, coalesce(c, 0) AS c, coalesce(f, 0) AS f FROM o FULL JOIN l USING (family_id))
-SELECT family_id, a AS n_positive_total, b AS n_positive_detected, c AS n_attribution_correct, f AS n_false_attraction, round(CASE WHEN a = 0 THEN 0 ELSE b / a END, 9) AS detection_rate, round(CASE WHEN a = 0 THEN 0 ELSE c / a END, 9) AS attribution_rate FROM j""")
+SELECT family_id, a AS n_positive_total, b AS n_positive_detected, c AS n_attribution_correct, f AS n_false_attraction, round(CASE WHEN a = 0 THEN 0 ELSE b / a END, 9) AS detection_rate, round(CASE WHEN b = 0 THEN 0 ELSE c / b END, 9) AS attribution_rate FROM j""")
 def m6_errors_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = evaluation.errors_by_family(evaluation.per_query(*_judged(spark, sf_dir), 700.0))
     return rows.withColumns({c: F.round(c, 9) for c in ("detection_rate", "attribution_rate")})
@@ -438,14 +433,16 @@ def _works(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = lambda role: F.transform(F.sort_array(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"])
     w = c.groupBy("conv_id").agg(said("user").alias("gt_paras"), said("system").alias("source_paras"), said("assistant").alias("a"))
     name = F.concat(F.lit("work"), F.floor(F.col("conv_id") / 3).cast("long"), F.lit("_"), F.col("conv_id") % 3 + 1, F.lit("_x_fr"))
-    return w.select(name.alias("work_id"), "gt_paras", "source_paras", F.create_map(F.lit("translator_1"), F.col("a"), F.lit("translator_2"), F.col("source_paras")).alias("translators"))
+    one = F.create_map(F.lit("translator_1"), F.col("a"))
+    translators_ = F.when(F.col("conv_id") % 3 == 0, one).otherwise(F.map_concat(one, F.create_map(F.lit("translator_2"), F.col("source_paras"))))  # none in the first volume
+    return w.select(name.alias("work_id"), "gt_paras", "source_paras", translators_.alias("translators"))
 
 
 @query("""WITH p AS (SELECT conv_id // 3 AS w, conv_id % 3 AS v, conv_id, turn, role, trim(text) AS t FROM conversations WHERE trim(text) <> ''),
 g AS (SELECT DISTINCT conv_id // 3 AS w, count(DISTINCT conv_id) OVER (PARTITION BY conv_id // 3) AS dummy, conv_id FROM conversations),
 k AS (SELECT w, count(*) AS n, min(conv_id % 3) + 1 AS only FROM (SELECT DISTINCT conv_id // 3 AS w, conv_id FROM conversations) GROUP BY w),
 x AS (SELECT k.w, CASE WHEN k.n > 1 THEN 'work' || k.w || '_fr' ELSE 'work' || k.w || '_' || k.only || '_x_fr' END AS id FROM k),
-t AS (SELECT w, CASE role WHEN 'user' THEN '__gt' WHEN 'assistant' THEN '__translator_1' ELSE '__translator_2' END AS suffix, string_agg(t, chr(10) ORDER BY v, turn) AS txt FROM p WHERE role IN ('user', 'assistant', 'system') GROUP BY 1, 2)
+t AS (SELECT w, CASE role WHEN 'user' THEN '__gt' WHEN 'assistant' THEN '__translator_1' ELSE '__translator_2' END AS suffix, string_agg(t, chr(10) ORDER BY v, turn) AS txt FROM p WHERE role IN ('user', 'assistant') OR (role = 'system' AND v > 0) GROUP BY 1, 2)
 SELECT x.id || '__gt' AS doc_id, x.id AS family_id, CAST(0 AS BIGINT) AS version_index, 'original' AS variant_type, md5(coalesce(txt, '')) AS text_md5 FROM x LEFT JOIN t ON t.w = x.w AND suffix = '__gt'
 UNION ALL SELECT x.id || suffix, x.id, CAST(right(suffix, 1) AS BIGINT), 'human_translation', md5(txt) FROM x JOIN t USING (w) WHERE suffix <> '__gt'""")
 def b6_translation_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -505,18 +502,4 @@ def a16_lexical_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*(F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes))
 
 
-@query()
-def p29_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical_pairs.pairwise(*_turn_pairs(spark, sf_dir)).select("doc_id", "source_doc_id", F.round("norm_edit_distance", 9).alias("norm_edit_distance"))
-
-
-# ---- the flagship -------------------------------------------------------------------------------------------
-
-
-@query()
-def run_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Split, query sets, BM25 and evaluation: one row of metrics."""
-    s = split.query_sets(*_families(spark, sf_dir))
-    matches = matching.bm25_matches(s.reference, s.queries, ascii_only=True)
-    row = evaluation.sweep(evaluation.curve(evaluation.scored(evaluation.manifest(s.positive, s.benign), matches)))
-    return row.select(*(F.round(c, 6).alias(c) for c in row.columns))
+from strandline import queries_stored  # noqa: E402, F401  registers more queries

@@ -112,3 +112,8 @@ def free_shuffles(spark: SparkSession) -> None:
 def parallelism(spark: SparkSession) -> int:
     """Number of shuffle partitions, at least one for each core."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which goes when the application ends."""
+    return f"{_app_dir(spark)}/{name}-{uuid.uuid4().hex}"
