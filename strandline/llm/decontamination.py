@@ -34,15 +34,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Bounded, bytes_of, frugal, id_text, slices
+from strandline.llm.common import bytes_of, frugal, id_text, slices
 from strandline.llm.shingles import shingle_hashes
 from strandline.storage import drop_written, written
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 20
 MAX_ITEMS, MAX_BYTES = 20_000, 16 << 20
 BLOCKS = 8
-#: Lists of near items that are held at once, of 2,048 that there are.
-NEAR_LISTS = 512
+#: Windows are looked up so many at a time that they meet at most about so many items in a list.
+CANDIDATES = 1 << 20
 _SEPARATORS = bytes(b for b in range(128) if not chr(b).isalnum())
 _BLANKS = bytes.maketrans(_SEPARATORS, b" " * len(_SEPARATORS))
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -69,27 +69,41 @@ def similarity(a: Counter, b: Counter) -> float:
     return low / (sum(a.values()) + sum(b.values()) - low)
 
 
-class MultiIndex:
-    """For each block of the fingerprints, the items by the block's value: 4 bytes an item and block, however many values there are."""
+def _expanded(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The numbers from each first up to before its last, one range after the other."""
+    many = last - first
+    return np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
 
-    def __init__(self, prints: np.ndarray, radius: int):
-        self.prints, self.least = prints, radius // BLOCKS
-        self.order = [np.argsort(prints[:, b], kind="stable").astype(np.int32) for b in range(BLOCKS)]
-        self.starts = [np.searchsorted(prints[o, b], np.arange(257)) for b, o in enumerate(self.order)]
-        self.near = Bounded(self._near, NEAR_LISTS)
 
-    def _near(self, block_value: tuple[int, int]) -> np.ndarray:
-        """Items whose block lies within reach of a value, from the lists of all values within reach."""
-        b, value = block_value
-        starts, order = self.starts[b], self.order[b]
-        values = np.flatnonzero(_POPCOUNT[np.arange(256) ^ value] <= self.least)
-        return np.concatenate([order[starts[v] : starts[v + 1]] for v in values])
+class MultiIndex:
+    """For each block of the fingerprints and each value of the block, the items whose block lies within reach of it.
 
-    def within(self, fingerprint: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Items within the radius, and how many bits differ: some block of theirs differs in no more than radius // BLOCKS bits."""
-        some = np.unique(np.concatenate([self.near[b, int(fingerprint[b])] for b in range(BLOCKS)]))
-        apart = _POPCOUNT[self.prints[some] ^ fingerprint].sum(axis=1, dtype=np.int64)
-        return some[apart <= radius], apart[apart <= radius]
+    Of two fingerprints within the radius some block differs in at most radius // BLOCKS bits.  An item stands in the lists
+    of the values near its own: 37 of 256 in each block at the default radius, so the lists grow with the items only.
+    """
+
+    def __init__(self, prints: np.ndarray, radius: int):
+        self.prints, self.radius = prints, radius
+        near = _POPCOUNT[np.arange(256)[:, None] ^ np.arange(256)] <= radius // BLOCKS
+        value, close = np.nonzero(near)
+        self.lists, self.starts = [], []
+        for b in range(BLOCKS):
+            order = np.argsort(prints[:, b], kind="stable").astype(np.int32)
+            at = np.searchsorted(prints[order, b], np.arange(257))
+            self.lists.append(order[_expanded(at[close], at[close + 1])])
+            self.starts.append(np.concatenate(([0], np.cumsum(np.bincount(value, weights=at[close + 1] - at[close], minlength=256)))).astype(np.int64))
+
+    def within(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(fingerprint asked for, item, bits that differ) of all within the radius, in order."""
+        n = len(self.prints)
+        keys = []
+        for b in range(BLOCKS):
+            first, last = self.starts[b][asked[:, b]], self.starts[b][asked[:, b].astype(np.int64) + 1]
+            keys.append(np.repeat(np.arange(len(asked)), last - first) * n + self.lists[b][_expanded(first, last)])
+        w, i = np.divmod(np.unique(np.concatenate(keys)), n)
+        apart = _POPCOUNT[asked[w] ^ self.prints[i]].sum(axis=1, dtype=np.int64)
+        hit = apart <= self.radius
+        return w[hit], i[hit], apart[hit]
 
 
 class BenchmarkIndex:
@@ -158,18 +172,18 @@ class BenchmarkIndex:
         ids, counters, _, index = group
         low, high = int(starts[0]), int(starts[-1]) + q
         best: dict[int, tuple] = {}
-        for begin in range(0, len(starts), 4096):
-            some = starts[begin : begin + 4096]
+        piece = max(1, min(4096, CANDIDATES // max(1, len(ids))))
+        for begin in range(0, len(starts), piece):
+            some = starts[begin : begin + piece]
             own = window_fingerprints(h[low:high], some - low, q)
-            for s, fingerprint in zip(some.tolist(), own):
-                items, apart = index.within(fingerprint, self.radius)
-                if not len(items):
-                    continue
-                window = Counter(h[s : s + q].tolist())
-                for i, bits in zip(items.tolist(), apart.tolist()):
-                    value = similarity(window, counters[i])
-                    if value >= self.least - 1e-12 and (i not in best or value > best[i][1]):
-                        best[i] = (ids[i], round(value, 6), s, width, bits)
+            window, at = Counter(), -1
+            for w, i, bits in zip(*(x.tolist() for x in index.within(own))):
+                s = int(some[w])
+                if s != at:
+                    window, at = Counter(h[s : s + q].tolist()), s
+                value = similarity(window, counters[i])
+                if value >= self.least - 1e-12 and (i not in best or value > best[i][1]):
+                    best[i] = (ids[i], round(value, 6), s, width, bits)
         return list(best.values())
 
 

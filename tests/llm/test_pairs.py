@@ -116,7 +116,7 @@ def test_multi_index_holds_all_within_the_radius():
         bits[rng.choice(64, rng.integers(decontamination.RADIUS + 3), replace=False)] ^= 1
         asked = np.packbits(bits)
         apart = np.unpackbits(prints ^ asked, axis=1).sum(axis=1)
-        items, found = index.within(asked, decontamination.RADIUS)
+        _, items, found = index.within(asked[None, :])
         assert items.tolist() == np.flatnonzero(apart <= decontamination.RADIUS).tolist() and found.tolist() == apart[items].tolist()
 
 
