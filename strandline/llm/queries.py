@@ -28,7 +28,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.substring_dedup import substring_dedup
 
     out = substring_dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "n_factors")
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in sorted(own, key=lambda f: int(f.__name__[2:].split("_")[0]))}
 
 
+#: Words of a text, and lower-casing of A-Z only.
+_WORDS = "list_filter(regexp_split_to_array(coalesce({0}, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL_2 = f"""WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS pos, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i+12], ' '))) AS win FROM d WHERE len(w) >= 13),
+k AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY win) AS first FROM s) WHERE first < doc_id),
+g AS (SELECT DISTINCT doc_id, pos + j AS pos FROM k, range(0, 13) AS r(j)),
+p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM d),
+r AS (SELECT p.doc_id, count(*) AS n_words, count(g.pos) AS n_removed, coalesce(string_agg(p.word, ' ' ORDER BY p.pos) FILTER (WHERE g.pos IS NULL), '') AS kept FROM p LEFT JOIN g ON g.doc_id = p.doc_id AND g.pos = p.pos GROUP BY p.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)"""
+
+SQL_6 = """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+s AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(id, r) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, reach.r FROM reach JOIN l ON l.a = reach.id), c AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT c.id AS vec_id, coalesce(n.n, 0) AS n_links, component_id, c.id = component_id AS kept FROM c LEFT JOIN n ON n.a = c.id"""
+
+SQL_7 = f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+sh AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS s FROM d),
+sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id), few AS (SELECT doc_id, s FROM (SELECT *, count(*) OVER (PARTITION BY s) AS df FROM sh) WHERE df > 1),
+ov AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM few a JOIN few b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM ov JOIN sz x ON x.doc_id = a JOIN sz y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+reach(id, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.b, reach.r FROM reach JOIN l ON l.a = reach.id)
+SELECT id AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN sz ON sz.doc_id = id GROUP BY id"""
+
+
 def oracle_sql() -> dict[str, str]:
     from strandline.llm import preference_format
 
-    return {"op8_preference_format": preference_format.ORACLE_SQL}
+    return {"op2_substring_dedup": SQL_2, "op6_embedding_dedup": SQL_6, "op7_jaccard_join": SQL_7, "op8_preference_format": preference_format.ORACLE_SQL}

@@ -52,13 +52,35 @@ def test_substring_dedup(spark, near_copies, odd, empty):
 
 
 def test_factors():
-    removed, factors = substring_dedup.parsed(9, np.array([1, 1, 9, 2, 2, 1]), np.array([4, 5, 0, 7, 9, 0], np.uint32), 8, 3)
-    assert factors == [(0, 4, 1, 4), (3, 3, 2, 7), (4, 3, 2, 9), (5, 3, 1, 0)] and removed.all()
-
-
-def test_earliest_with_equal_first_hashes():
-    doc, pos = substring_dedup.earliest(np.array([5, 5, 5, 5], np.uint64), np.array([1, 2, 1, 2], np.uint32), np.array([8, 3, 6, 4]), np.array([0, 1, 2, 3], np.uint32))
-    assert doc.tolist() == [6, 3, 6, 3] and pos.tolist() == [2, 1, 2, 1]
+    """Earliest and best addresses of six windows of three words: the longer run is taken, and the parse jumps."""
+    doc, pos = np.array([1, 1, 9, 2, 2, 1]), np.array([4, 5, 0, 7, 9, 0], np.uint32)
+    removed, factors = substring_dedup.parsed(9, doc, pos, doc, pos, 8, 3)
+    assert factors == [(0, 4, 1, 4), (4, 3, 2, 9)] and removed.all()
+    best, at = np.array([3, 3, 3, 3, 2, 9]), np.array([0, 1, 2, 3, 9, 0], np.uint32)
+    assert substring_dedup.parsed(9, np.where(doc == 9, 3, doc), np.where(doc == 9, 2, pos).astype(np.uint32), best, at, 8, 3)[1] == [(0, 6, 3, 0)]
+    assert substring_dedup.parsed(1, doc, pos, best, at, 8, 3)[1] == []
+
+
+@pytest.mark.parametrize("dealt", [{}, {"blocks": 1, "buckets": 1}, {"blocks": 7, "buckets": 3}])
+def test_one_long_match_is_one_factor(spark, dealt):
+    """Document 1 holds the beginning, document 2 all of it: document 3 is one factor of 30 words, not two."""
+    words = [f"w{i}" for i in range(30)]
+    rows = [(1, " ".join(words[:14])), (2, " ".join(words)), (3, " ".join(words)), (4, " ".join(words[5:25] + ["x"] + words[3:20]))]
+    got = {r["doc_id"]: (r["n_factors"], r["n_removed"]) for r in substring_dedup.substring_dedup(frame(spark, rows), **dealt).collect()}
+    assert got == {1: (0, 0), 2: (1, 14), 3: (1, 30), 4: (2, 37)}
+
+
+def test_rows_without_an_id_go_to_no_block(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    got = substring_dedup.substring_dedup(frame(spark, [(None, text)] * 50 + [(1, text), (2, text)])).collect()
+    assert sorted((repr(r["doc_id"]), r["n_words"], r["n_removed"]) for r in got) == sorted([("None", 20, 0)] * 50 + [("1", 20, 0), ("2", 20, 20)])
+
+
+def test_choice_with_equal_first_hashes():
+    n = lambda *x: np.array(x)
+    doc, pos = n(8, 3, 6, 4), n(0, 1, 2, 3).astype(np.uint32)
+    found = substring_dedup.chosen(n(5, 5, 5, 5).astype(np.uint64), n(1, 2, 1, 2).astype(np.uint32), doc, pos, doc, pos, n(9, 1, 2, 1).astype(np.uint32))
+    assert [x.tolist() for x in found] == [[6, 3, 6, 3], [2, 1, 2, 1], [8, 3, 8, 3], [0, 1, 0, 1], [9, 1, 9, 1]]
 
 
 # 5: decontamination ----------------------------------------------------------------------------------------
