@@ -145,13 +145,56 @@ def test_no_keyword_hides_a_rule():
     """Each clause, and each text of the others, with any separators: as without keywords."""
     plain = lambda found: [(a, b, rule.label, rule.weight) for a, b, rule in found]
     every = license_scan.LicenseScanner([r._replace(keyword=b"") for r in license_scan.signature_rules()])
-    names = [n for _, names, _, _ in license_scan.FAMILIES for n in names] + [f"creative commons {n}" for n in license_scan.CC_KINDS.values()] + [c[4] for c in license_scan.CLAUSES]
+    names = [n for _, names, _, _ in license_scan.FAMILIES for n in names] + [f"creative commons {n}" for n in license_scan.CC_KINDS.values()] + [r[4].replace("*", "") for r in license_scan._rows(license_scan.SIGNATURES, 5)]
     for sep in (" ", "\n", " \n * ", "--"):
         for name in names:
             low = sep.join((name + " 2.0").split()).encode()
             assert plain(SCANNER.detections(low)) == plain(every.detections(low)), low
 
 
+def test_each_hand_written_rule_finds_its_words():
+    """Every signature is found in its own words, and every address in one written out; none but for a longer one's sake is suppressed."""
+    rows = license_scan._rows(license_scan.SIGNATURES, 5)
+    assert len(rows) + len(license_scan._rows(license_scan.ADDRESSES, 5)) + len(license_scan._rows(license_scan.NEGATIVES, 2)) >= 200
+    for label, keyword, _, _, text in rows:
+        words = text.replace("*", "some words")
+        assert keyword in words, text
+        assert any(r.label == label and r.pattern.search(words.encode()) for r in SCANNER.groups[keyword.encode()]), text
+        assert SCANNER.scan(words.upper().encode())["labels"], text
+    for label, keyword, _, _, pattern in license_scan._rows(license_scan.ADDRESSES, 5):
+        assert keyword.split(".")[0] in pattern.replace("\\", ""), pattern
+
+
+@pytest.mark.parametrize("text", ["her license plate number", "This is not licensed under the GNU General Public License", "unlike the Apache License", "a driver's license", "enter the license key"])
+def test_names_that_grant_nothing(text):
+    got = SCANNER.scan(text.encode())
+    assert got["labels"] == got["base_labels"] and got["n_detections"] == 0
+
+
+def plain_detections(low, rules):
+    """Every match of every rule, accepted one by one unless an accepted one covers it."""
+    found = sorted(((m.start(), m.end(), r) for r in rules for m in r.pattern.finditer(low)), key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].label))
+    kept = []
+    for start, end, rule in found:
+        if not any(a <= start and end <= b for a, b, _ in kept):
+            kept.append((start, end, rule))
+    return sorted((a, b, r.label) for a, b, r in kept)
+
+
+RULES = license_scan.signature_rules()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["gnu general public license", "version 2.0", "mit license", "apache license", "licensed under the", "unlike the", "creative commons attribution", "4.0", "public domain", "released into the", "all rights reserved", "license plate", "spdx-license-identifier: mit", "cc by-sa 3.0", "x", "\n"]), max_size=8))
+def test_suppression_against_every_pair(parts):
+    text = " ".join(parts).encode()
+    assert sorted((a, b, r.label) for a, b, r in SCANNER.detections(text)) == plain_detections(text, RULES)
+    got = SCANNER.scan(text)
+    weights = [r.weight for a, b, r in SCANNER.detections(text) if r.label]
+    want = 1 - np.prod([1 - w for w in weights]) if weights else 0.8 if got["n_base"] else 0.0
+    assert abs(got["score"] - want) < 1e-6
+
+
 def test_suppression_is_by_containment():
     rules = [license_scan.Rule("wide", b"a", 2, 0.5, re.compile(rb"a b c")), license_scan.Rule("in", b"b", 1, 0.5, re.compile(rb"b")), license_scan.Rule("across", b"c", 1, 0.5, re.compile(rb"c d"))]
     found = license_scan.LicenseScanner(rules).detections(b"a b c d b")
