@@ -4,18 +4,22 @@ Equal vectors of one label become one representative first, so a vector that a t
 one row.  Each tree splits recursively by a random direction at a random quantile near the middle; rows close to
 the split go to both sides (spill).  The margin is never cut: where it would hold more than a bounded share of a
 node's rows in each direction tried, as in a large group of distinct but linked vectors, the node stays one leaf.
-The trees are fitted on a sample of at most about `sample` representatives, and every representative is routed
-through every tree.  Rows of one leaf are compared exactly, in double precision and within their label; pairs at or
-above the threshold link.
+The trees are fitted on a sample of representatives, a 64th of them but no fewer than SAMPLE[0] and no more than
+SAMPLE[1], and every representative is routed through every tree.  Within a leaf rows meet those of their own label only.
 
-A pair that meets in several leaves counts in the lowest one only: each row carries the list of its leaves.
-A leaf sends per-vector counts and a spanning forest of its links, never its pairs.  A leaf whose estimated size
-exceeds `cell` rows is dealt as a grid of chunk pairs, so that no task gets an unbounded leaf.
+Leaves are compared in two steps.  First only an 8-bit code of each unit vector goes to its leaves, with the length of
+its rounding error; two codes whose product lies below the threshold by more than both errors cannot belong to a link,
+so this loses nothing.  Vectors that have a candidate in a leaf go there themselves, and are compared exactly, in double
+precision; pairs at or above the threshold link.
+
+A pair that meets in several leaves counts in the lowest one only: each row carries the list of its leaves with
+candidates.  A leaf sends per-vector counts and a spanning forest of its links, never its pairs.  A leaf and label of more
+than `cell` rows, counted, is dealt as a grid of chunk pairs, so that no task gets an unbounded leaf.
 
 Defined results: vectors that are null, empty, zero, or hold a null or non-finite component, and rows with a null
 label, link with nothing, and so do vectors of different lengths; rows with one vec_id count as vectors of their own
-that share an id; a null vec_id has a null component and is kept, and lends no id to a component; an empty table gives
-an empty table; other columns are not read.
+that share an id; a null vec_id has a null component and is kept, and lends no id to a component; a cosine equal to the
+threshold links; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,12 +33,12 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import frugal
 from strandline.operators.components import components
-from strandline.storage import parallelism, written
+from strandline.storage import parallelism, scratch, written
 
 
 THRESHOLD = 0.93
 TREES, LEAF, CELL = 8, 256, 4096
-SAMPLE, MIN_SAMPLE_LEAF = 32_768, 16
+SAMPLE, MIN_SAMPLE_LEAF = (32_768, 262_144), 16
 SPILL, SPILL_SHARE, TRIES = 0.5, 0.15, 16
 
 
@@ -122,6 +126,33 @@ def _forest_of(links: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> list[tu
         root = new
 
 
+def coded(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """8-bit codes of unit vectors, the step of each, and a bound of the rounding error's length."""
+    step = np.abs(unit).max(axis=1) / 127
+    codes = np.round(unit / step[:, None]).astype(np.int8)
+    return codes, step, np.linalg.norm(unit - codes * step[:, None], axis=1) + 1e-6
+
+
+def with_candidates(codes: np.ndarray, step: np.ndarray, error: np.ndarray, sides: np.ndarray, diagonal: bool, threshold: float, block: int = 1024) -> np.ndarray:
+    """Which rows of a cell may link with another one."""
+    x = codes.astype(np.float32) * step.astype(np.float32)[:, None]
+    # |a.b - c.d| <= |a - c| |b| + |c| |b - d|, and float32 sums are off by less than 1e-4
+    least = threshold - 1e-4
+    found = np.zeros(len(x), bool)
+    first = np.arange(len(x)) if diagonal else np.flatnonzero(sides == 0)
+    second = first if diagonal else np.flatnonzero(sides == 1)
+    for i in range(0, len(first), block):
+        a = first[i : i + block]
+        for j in range(i if diagonal else 0, len(second), block):
+            b = second[j : j + block]
+            near = x[a] @ x[b].T + error[a][:, None] + error[b] * (1 + error[a][:, None]) >= least
+            if diagonal and i == j:
+                near &= ~np.eye(len(a), dtype=bool)
+            found[a] |= near.any(axis=1)
+            found[b] |= near.any(axis=0)
+    return found
+
+
 def cell_links(ids, sides, labels, copies, leaves, x, leaf: int, diagonal: bool, threshold: float, block: int = 1024):
     """Links within one cell: counts per vector and edges.  sides: chunk of each row, 0 or 1 (all 0 on the diagonal)."""
     counts: dict[int, int] = {}
@@ -157,9 +188,13 @@ def cell_links(ids, sides, labels, copies, leaves, x, leaf: int, diagonal: bool,
     return counts, edges
 
 
-def embedding_dedup(df: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, cell: int = CELL, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def embedding_dedup(df: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, cell: int = CELL, sample: tuple[int, int] = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
-    spark = df.sparkSession
+    with scratch() as keep:
+        return keep(written(_deduplicated(df, threshold, trees, leaf, cell, sample, id_col, vector_col, label_col), "embeddings"))
+
+
+def _deduplicated(df: DataFrame, threshold: float, trees: int, leaf: int, cell: int, sample: tuple[int, int], id_col: str, vector_col: str, label_col: str) -> DataFrame:
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").alias("x"), F.col(f"`{label_col}`").cast("string").alias("label"))
     sound = F.coalesce(F.col("label").isNotNull() & (F.size("x") > 0) & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("x", lambda v: v != 0), F.lit(False))
     rows = rows.withColumn("key", F.when(sound, F.xxhash64("label", "x")))
@@ -189,66 +224,62 @@ def embedding_dedup(df: DataFrame, threshold: float = THRESHOLD, trees: int = TR
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
-def _links(reps: DataFrame, dim: int, n_rows: int, threshold: float, trees: int, leaf: int, cell: int, sample: int) -> DataFrame:
+def _links(reps: DataFrame, dim: int, n_rows: int, threshold: float, trees: int, leaf: int, cell: int, sample: tuple[int, int]) -> DataFrame:
     """rep, other, n: counts of links (other is null) and edges of the leaves' spanning forests."""
     spark = reps.sparkSession
-    share = min(1.0, sample / n_rows)
-    picked = reps.where(F.pmod(F.xxhash64("key", "rep"), F.lit(1 << 20)) < share * (1 << 20)).select("x").limit(2 * sample).toPandas()["x"]
-    fitted = np.array([np.asarray(v, np.float64) for v in picked]).reshape(-1, dim)
+    wanted = min(sample[1], max(sample[0], n_rows // 64))
+    share = min(1.0, wanted / n_rows)
+    picked = reps.where(F.pmod(F.xxhash64("key", "rep"), F.lit(1 << 20)) < share * (1 << 20)).select("x").limit(2 * wanted).toArrow()
+    fitted = _doubles(picked.column("x").combine_chunks(), dim)
     fitted /= np.linalg.norm(fitted, axis=1, keepdims=True) if len(fitted) else 1.0
-    forest = fit_forest(fitted, n_rows, threshold, trees, leaf)
-    grids = [max(1, math.ceil(s * n_rows / cell)) for tree in forest for s in tree.shares]
-    sent = spark.sparkContext.broadcast((forest, grids))
+    sent = spark.sparkContext.broadcast(fit_forest(fitted, n_rows, threshold, trees, leaf))
 
-    routed = pa.schema([("leaf", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("rep", pa.int64()), ("label", pa.string()), ("copies", pa.int64()), ("leaves", pa.list_(pa.int32())), ("x", pa.list_(pa.float64()))])
-    x_type = reps.schema["x"].dataType.simpleString()
-    if x_type == "array<float>":
-        routed = routed.set(8, pa.field("x", pa.list_(pa.float32())))
+    coded_schema = pa.schema([("leaf", pa.int32()), ("label", pa.string()), ("rep", pa.int64()), ("code", pa.binary()), ("step", pa.float64()), ("error", pa.float64())])
 
     @frugal
     def route(batches):
-        trees_, grid = sent.value
+        forest = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 x = _doubles(part.column("x"), dim)
                 unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                at_leaf = [pair for tree in trees_ for pair in tree.route(unit)]
-                leaves: list[list[int]] = [[] for _ in range(len(x))]
-                for number, members in at_leaf:
-                    for k in members.tolist():
-                        leaves[k].append(number)
-                reps_of = part.column("rep").to_numpy()
-                cells: list[tuple] = []
-                for number, members in at_leaf:
-                    g = grid[number]
-                    if g == 1:
-                        cells += [(number, 0, 0, 0, k) for k in members.tolist()]
-                        continue
-                    for k in members.tolist():
-                        c = int((int(reps_of[k]) * 0x9E3779B97F4A7C15 >> 32) % g)
-                        cells += [(number, min(c, o), max(c, o), int(c > o), k) for o in range(g)]
-                if not cells:
-                    continue
-                number, i, j, side, k = (np.array(v) for v in zip(*cells))
-                kept = part.take(pa.array(k))
-                listed = pa.array([leaves[r] for r in k.tolist()], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32()) for v in (number, i, j, side)] + [kept.column("rep"), kept.column("label"), kept.column("copies"), listed, kept.column("x").cast(routed.field("x").type)], schema=routed)
-
+                reached = [pair for tree in forest for pair in tree.route(unit)]
+                k = np.concatenate([members for _, members in reached])
+                codes, step, error = coded(unit)
+                raw = pa.array([c.tobytes() for c in codes], pa.binary())
+                take = pa.array(k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([n for n, _ in reached], [len(m) for _, m in reached]), pa.int32()), part.column("label").take(take), part.column("rep").take(take), raw.take(take), pa.array(step[k]), pa.array(error[k])], schema=coded_schema)
+
+    routed = reps.select("rep", "label", "x").repartition(parallelism(spark), "rep").mapInArrow(route, "leaf int, label string, rep long, code binary, step double, error double")
+    routed = written(routed, "codes")
+    # leaves with one row of a label have nothing to compare; large ones are dealt as a grid of chunk pairs
+    sizes = routed.groupBy("leaf", "label").agg(F.count("*").alias("m")).where("m > 1").withColumn("g", F.ceil(F.col("m") / cell).cast("int"))
+    own = F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")
+    dealt = routed.join(sizes, ["leaf", "label"]).withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    dealt = dealt.select("leaf", "label", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side"), "rep", "code", "step", "error")
+
+    def candidates(key: tuple, group: pa.Table) -> pa.Table:
+        codes = np.frombuffer(b"".join(group.column("code").to_pylist()), np.int8).reshape(-1, dim)
+        found = with_candidates(codes, group.column("step").to_numpy(), group.column("error").to_numpy(), group.column("side").to_numpy(), key[2] == key[3], threshold)
+        return group.select(["leaf", "i", "j", "side", "rep"]).filter(pa.array(found))
+
+    likely = dealt.groupBy("leaf", "label", "i", "j").applyInArrow(candidates, "leaf int, i int, j int, side int, rep long")
+    at = written(likely.groupBy("rep").agg(F.collect_list(F.struct("leaf", "i", "j", "side")).alias("cells")), "candidates")
+    vectors = reps.select("rep", "label", "copies", "x").join(at, "rep").withColumn("leaves", F.array_distinct(F.transform("cells", lambda c: c["leaf"])))
+    cells = vectors.select("rep", "label", "copies", "x", "leaves", F.inline("cells"))
     out_schema = pa.schema([("rep", pa.int64()), ("other", pa.int64()), ("n", pa.int64())])
 
     def compare(key: tuple, group: pa.Table) -> pa.Table:
-        number, i, j = (k.as_py() for k in key)
+        number, i, j = (key[k].as_py() for k in (0, 2, 3))
         group = group.combine_chunks()
         ids = group.column("rep").to_numpy()
         x = group.column("x").combine_chunks()
         x = _doubles(x.chunk(0) if isinstance(x, pa.ChunkedArray) else x, dim)
-        _, labels = np.unique(np.array(group.column("label").to_pylist(), object).astype(str), return_inverse=True)
-        counts, edges = cell_links(ids, group.column("side").to_numpy(), labels, group.column("copies").to_numpy(), group.column("leaves").to_pylist(), x, number, i == j, threshold)
+        counts, edges = cell_links(ids, group.column("side").to_numpy(), np.zeros(len(ids), np.int64), group.column("copies").to_numpy(), group.column("leaves").to_pylist(), x, number, i == j, threshold)
         rep = [*counts, *(a for a, _ in edges)]
         other = [None] * len(counts) + [b for _, b in edges]
         n = [*counts.values(), *([0] * len(edges))]
         return pa.table([pa.array(v, pa.int64()) for v in (rep, other, n)], schema=out_schema)
 
-    cells = reps.select("rep", "label", "copies", "x").repartition(parallelism(spark), "rep").mapInArrow(route, f"leaf int, i int, j int, side int, rep long, label string, copies long, leaves array<int>, x {'array<float>' if x_type == 'array<float>' else 'array<double>'}")
-    return cells.groupBy("leaf", "i", "j").applyInArrow(compare, "rep long, other long, n long")
+    return cells.groupBy("leaf", "label", "i", "j").applyInArrow(compare, "rep long, other long, n long")

@@ -225,12 +225,25 @@ def test_large_group_of_distinct_linked_vectors():
     probes = rng.choice(group, 100, replace=False)
     linked = x[probes] @ x.T >= embedding_dedup.THRESHOLD
     met = np.zeros_like(linked)
-    for tree in embedding_dedup.fit_forest(x[rng.random(n) < embedding_dedup.SAMPLE / n], n, embedding_dedup.THRESHOLD, embedding_dedup.TREES, embedding_dedup.LEAF):
+    for tree in embedding_dedup.fit_forest(x[rng.random(n) < embedding_dedup.SAMPLE[0] / n], n, embedding_dedup.THRESHOLD, embedding_dedup.TREES, embedding_dedup.LEAF):
         for _, rows in tree.route(x):
             met[np.ix_(np.isin(probes, rows), rows)] = True
     assert (met & linked).sum() >= 0.999 * linked.sum()
 
 
+@pytest.mark.parametrize("dim", [1, 2, 12, 64, 300])
+def test_codes_lose_no_link(dim):
+    """Rows that link with another one are among those with candidates, on the diagonal and between chunks."""
+    rng = np.random.default_rng(dim)
+    x = rng.standard_normal((20, dim))[rng.integers(0, 20, 400)] + rng.standard_normal((400, dim)) * rng.choice([0.1, 0.25, 0.4, 1.0], (400, 1))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.93) & ~np.eye(400, dtype=bool)
+    sides = rng.integers(0, 2, 400)
+    assert (embedding_dedup.with_candidates(*embedding_dedup.coded(unit), sides, True, 0.93, 64) >= linked.any(axis=1)).all()
+    across = linked & (sides[:, None] != sides)
+    assert (embedding_dedup.with_candidates(*embedding_dedup.coded(unit), sides, False, 0.93, 64) >= across.any(axis=1)).all()
+
+
 def test_no_embeddings(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.embedding_dedup(none).count() == 0
