@@ -123,6 +123,9 @@ def test_evaluate(spark):
     errors = {r["family_id"]: r for r in evaluation.errors_by_family(rows).collect()}
     assert (errors["f1"]["n_false_attraction"], errors["f1"]["attribution_rate"], errors["f2"]["detection_rate"], errors["f2"]["attribution_rate"], errors["f3"]["detection_rate"]) == (1, 1.0, 1.0, 0.0, 0.0)
     assert [r["query_doc_id"] for r in evaluation.false_positives(rows).collect()] == ["b1"]
+    two = spark.createDataFrame([("a", True, "f", True, "f"), ("b", True, "f", False, None)], "query_doc_id string, is_positive boolean, target_family_id string, pred_detected boolean, pred_family_id string")
+    r = evaluation.errors_by_family(two).first()
+    assert (r["detection_rate"], r["attribution_rate"]) == (0.5, 1.0)  # of the detected ones
     one, _ = evaluation.evaluate(truth.where("is_positive"), matches)
     assert one["threshold"] == 0.5 and one["detection_best"]["best_f1"] is None
 
@@ -162,11 +165,11 @@ def test_versions(spark, tmp_path):
 
 
 def test_translations(spark, tmp_path):
-    rows = [("book_2_x_ru", ["m2"], ["s2"], {"translator_1": ["b"], "translator_2": [" "]}), ("book_10_x_ru", ["m10", ""], [], {"translator_1": ["c"]}), ("alone_de", ["m"], [], {"translator_2": ["t"]}), ("solo_1_fr", ["q"], [], {})]
+    rows = [("book_2_x_ru", ["m2"], ["s2"], {"translator_1": ["b"], "translator_2": [" "]}), ("book_10_x_ru", ["m10", ""], [], {"translator_1": ["c"], "translator_3": ["only here"]}), ("alone_de", ["m"], [], {"translator_2": ["t"]}), ("solo_1_fr", ["q"], [], {})]
     works = spark.createDataFrame(rows, tables.WORKS)
     machine, human = translations.translation_docs(works)
     got = {r["doc_id"]: (r["text"], r["version_index"]) for r in machine.union(human).collect()}
-    assert got == {"book_ru__gt": ("m2\nm10", 0), "book_ru__translator_1": ("b\nc", 1), "alone_de__gt": ("m", 0), "alone_de__translator_2": ("t", 1), "solo_1_fr__gt": ("q", 0)}
+    assert got == {"book_ru__gt": ("m2\nm10", 0), "book_ru__translator_1": ("b\nc", 1), "book_ru__translator_3": ("only here", 3), "alone_de__gt": ("m", 0), "alone_de__translator_2": ("t", 1), "solo_1_fr__gt": ("q", 0)}
     assert json.loads(machine.where("family_id = 'book_ru'").first()["meta_json"])["lang_name"] == "Russian"
     assert translations.translation_docs(works, merge=False)[0].count() == 4
     assert len(translations.prepare_translations(works, str(tmp_path))) == 6
@@ -203,6 +206,9 @@ def test_config():
     other = config.RunConfig("krapivin", variant_sets=["x"], include_original_as_positive=True)
     assert other.ident().startswith("vector__krapivin_original__s42__var") and other.ident().endswith("__inclorig")
     assert [c.method for c in config.configs({"dataset": "par3", "runs": [{"method": "bm25"}, {"method": "fuzzy"}]})] == ["bm25", "fuzzy"]
+    names = [config.RunConfig("krapivin", **kw).ident() for kw in ({}, {"split_ratio": 0.3}, {"split_seed": 7}, {"method_params": {"k1": 2}}, {"method_params": {"k1": 3}}, {"variant_sets": ["x"]}, {"include_original_as_positive": True})]
+    assert len(set(names)) == len(names) and names[1].endswith("__r0.3")
+    assert cfg.as_dict()["_resolved"]["run_ident"] == cfg.ident()
     for bad in ({"dataset": "x"}, {"dataset": "par3", "method": "x"}):
         with pytest.raises(ValueError):
             config.RunConfig(**bad)

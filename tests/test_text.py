@@ -37,6 +37,7 @@ def test_identifiers(spark):
 
 def test_listlike_and_json(spark):
     assert column(spark, ['["a", " b ", ""]', "['x','y']", "nonsense", None, ""], text.listlike) == [["a", "b"], ["x", "y"], [], [], []]
+    assert column(spark, ["['a', None, ' b  c ']", "('a',)", "[('x', 'y')]", "[None]", "['a'"], text.listlike) == [["a", "b c"], [], ["('x', 'y')"], [], []]
     assert column(spark, ['{"paperhash": " h  1 "}', "{", None, "[]"], text.paperhash) == ["h 1", "", "", ""]
     assert column(spark, ["Article-Title", "PARAGRAPH", "Footnote", None, "title"], text.sentence_type) == ["title", "p", "footnote", "", "title"]
     assert column(spark, [1], lambda c: text.meta_json(a=c, b=F.lit(None).cast("string")), "int") == ['{"a":1,"b":null}']
