@@ -410,6 +410,27 @@ def test_stages_keep_the_columns(spark, odd):
         assert docs.columns == odd.columns
 
 
+def test_stages_on_odd_and_empty_tables(spark, odd, empty):
+    """What stays of null, empty, blank, repeated, long and foreign texts, null ids, and rows that share an id; stage by stage."""
+    import corpus_pipeline
+
+    sf, stage = "/root/testdata/sf0.001", dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted((r["doc_id"] for r in df.collect()), key=repr)
+    whole = ids(odd)
+    fox = [i for i, t in ODD if t == ODD[0][1]]
+    lettered = [i for i, t in ODD if t and any(c.isalpha() for c in t)]
+    langs = corpus_pipeline.language_id(spark, odd.withColumn("_found", F.lit("clash")), sf)
+    assert "_found" in langs.columns and set(ids(langs)) <= set(lettered) and {i for i in fox if i} <= set(ids(langs))
+    assert ids(stage["jaccard_join"](spark, odd, sf)) == sorted((i for i, t in ODD if i != 2), key=repr)
+    assert ids(stage["decontamination"](spark, odd, sf)) == whole
+    clean = stage["secret_scan"](spark, odd, sf)
+    assert ids(clean) == whole and sorted((r["n_chars"] for r in clean.collect()), key=repr) == sorted((len(t) if t is not None else None for _, t in ODD), key=repr)
+    assert stage["secret_scan"](spark, odd.drop("n_chars"), sf).columns == odd.drop("n_chars").columns
+    assert ids(stage["byte_bpe"](spark, odd, sf)) == whole
+    for f in stage.values():
+        assert f(spark, empty, sf).count() == 0
+
+
 def test_pipeline_decodes(spark):
     """The last stage's digest is that of the bytes that the ids stand for, which are the text's."""
     import corpus_pipeline
