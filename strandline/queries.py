@@ -1,6 +1,6 @@
 """One query per operator family over the shared tables, each with DuckDB SQL where SQL can express it.
 
-Queries run over whole tables.  A search takes the rows whose id is divisible by 50 as its queries, against all others.
+Queries run over whole tables.  A search takes the rows whose id is divisible by 50 as its queries, against all rows.
 """
 
 from __future__ import annotations
