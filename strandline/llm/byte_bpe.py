@@ -6,8 +6,9 @@ Normalisation is identity and nothing is added to the text.  Pre-tokens are enco
 distinct one once in a while; as in the rank file's own library, a pre-token that is an entry is that entry.
 Decoding looks up each id's bytes.
 
-Defined results: null text counts as empty; empty text has no ids; repeated rows give repeated rows; an
-empty table gives an empty table; other columns are not read.
+Defined results: null text counts as empty; empty text has no ids; a text of any length is encoded whole, a long pre-token
+without being kept; of merges with one rank the leftmost comes first; repeated rows give repeated rows; null ids are kept;
+an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations

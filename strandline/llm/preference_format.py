@@ -7,7 +7,7 @@ its end mark and without its header.
 
 Defined results: turns are ordered by turn, then role, then text (so repeated turn numbers have one order, and
 repeated rows stay); a null turn sorts first; a null role is rendered as `unknown`, a null text as empty; a side
-without turns has an empty completion; rows with a null pair are ignored; an empty table gives an empty table;
+without turns has an empty completion; a conversation or text of any length is rendered whole, as one row; rows with a null pair are ignored; an empty table gives an empty table;
 columns not named are not read.
 """
 

@@ -8,8 +8,9 @@ equal scores the longest last piece stays, as in the tokenizer.  A character wit
 lowest score less 10 and counts as one unknown piece for each run, or as its UTF-8 bytes when the
 vocabulary has all byte pieces.
 
-Defined results: null text counts as empty; empty text has 0 tokens; repeated rows give repeated rows; null
-ids are kept; an empty table gives an empty table; other columns are not read.
+Defined results: null text counts as empty; empty text has 0 tokens; a text of any length is counted whole, a word of any
+length in time linear in it; repeated rows give repeated rows; null ids are kept; an empty table gives an empty table;
+other columns are not read.
 """
 
 from __future__ import annotations
