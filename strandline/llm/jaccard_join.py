@@ -10,7 +10,8 @@ documents link when 100 * intersection >= percent * union.
 * Index-level skipping: a list is cut into blocks of about one size, each in order of position.  Two sets that link
   have positions within an interval that their sizes give (shingles before and after it), so a probe jumps to the
   first entry of a block within reach, by binary search, leaves it after the last one, and skips blocks out of the
-  size bound whole.  What is left must also pass the bitmaps, whose Hamming distance never exceeds the sets' symmetric
+  size bound whole.  Sets that share one of the three listed tokens before this one are left to that token's list, so that
+  a pair comes up once or a few times, not once for each token it shares.  What is left must also pass the bitmaps, whose Hamming distance never exceeds the sets' symmetric
   difference.
 * Answer-level skipping: the first round verifies all candidates of short lists and a spanning forest of each longer
   list's, most alike first.  Sets linked so far form groups, and the least set of a group is its leader.  Pairs within
@@ -35,7 +36,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import bytes_of, frugal, id_text, slices
@@ -48,6 +49,8 @@ SHINGLE, PERCENT, CHUNK = 5, 80, 4096
 CELLS, RANGES, CELL_BYTES = (16, 24), 64, 6
 #: Lists of at most so many entries are compared pair by pair for many lists at once.
 SMALL = 8
+#: The listed tokens before an entry's own in its set's prefix: two sets that share one of them meet there.
+BEFORE = ("before1", "before2", "before3")
 #: Sizes within a block of a list differ by at most this share; pairs are tested so many at a time.
 SIZE_STEP, PIECE = 0.02, 1 << 18
 #: Least and most bits, as powers of two, of the filter of keys whose sets are wanted, and how many bits a key has.
@@ -155,11 +158,15 @@ class Lists:
         self.percent, self.forest = percent, forest
 
     def bound(self, x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether entries i and j may link, by size, position and bitmap, and differ in component (and side, on a grid)."""
+        """Whether entries i and j may link, by size, position and bitmap, differ in component (and side, on a grid), and meet in no list just before."""
         a, b, p, q = x["n"][i], x["n"][j], x["pos"][i], x["pos"][j]
         least = needed(a, b, self.percent)
         ok = (x["comp"][i] != x["comp"][j]) & (x["off"][i] | (x["side"][i] != x["side"][j]))
         ok &= np.minimum(p, q) + 1 + np.minimum(a - 1 - p, b - 1 - q) >= least
+        # pairs that share one of the tokens just before this one meet in that token's list
+        for u in x["before"]:
+            for v in x["before"]:
+                ok &= (u[i] != v[j]) | (u[i] == 0)
         some = np.flatnonzero(ok)
         apart = self.distance(x, i[some], j[some])
         ok[some] = a[some] + b[some] - apart >= 2 * least[some]
@@ -258,17 +265,17 @@ def _candidates(shared: DataFrame, comps: DataFrame | None, percent: int, forest
     """a < b: candidate pairs of classes in different components, each once."""
     n = parallelism(shared.sparkSession)
     rows = shared.withColumn("comp", F.col("rep")) if comps is None else shared.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component_id", "rep")).drop("component_id")
-    short = rows.where(F.col("m") <= chunk).select("tok", "rep", "n", "pos", "bits", "comp", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
+    short = rows.where(F.col("m") <= chunk).select("tok", "rep", "n", "pos", "bits", "comp", *BEFORE, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
     long = rows.where(F.col("m") > chunk)
     spread = F.ceil(F.col("m") / chunk).cast("int")
     own = F.pmod(F.xxhash64("rep"), spread).cast("int")
     if forest:
-        long = long.select("tok", "rep", "n", "pos", "bits", "comp", own.alias("i"), own.alias("j"), F.lit(0).alias("side"))
+        long = long.select("tok", "rep", "n", "pos", "bits", "comp", *BEFORE, own.alias("i"), own.alias("j"), F.lit(0).alias("side"))
     else:
         # a long list within one component has nothing left to verify
         open_ = long.groupBy("tok").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("tok")
         long = long.join(open_, "tok").withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), spread - 1)))
-        long = long.select("tok", "rep", "n", "pos", "bits", "comp", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), F.when(F.col("own") > F.col("o"), 1).otherwise(0).alias("side"))
+        long = long.select("tok", "rep", "n", "pos", "bits", "comp", *BEFORE, F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), F.when(F.col("own") > F.col("o"), 1).otherwise(0).alias("side"))
     dealt = short.union(long).repartition(n, "tok", "i", "j").sortWithinPartitions("tok", "i", "j", "n", "rep")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -285,6 +292,7 @@ def _candidates(shared: DataFrame, comps: DataFrame | None, percent: int, forest
             x["list"], x["off"] = np.cumsum(new), x["i"] == x["j"]
             for c in ("n", "pos"):
                 x[c] = x[c].astype(np.int64)
+            x["before"] = [table.column(c).to_numpy() for c in BEFORE]
             x["bits"] = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, 4)
             left, right = lists.pairs(x)
             a, b = x["rep"][left], x["rep"][right]
@@ -482,6 +490,8 @@ def _components(rows: DataFrame, k: int, percent: int, chunk: int) -> DataFrame:
     free_shuffles(spark)
     frequent = heavy.select(F.explode("prefix").alias("tok")).groupBy("tok").agg(F.count("*").alias("m")).where("m > 1")
     entries = heavy.select("rep", F.posexplode("prefix").alias("pos", "tok")).join(frequent, "tok")
+    order_of = Window.partitionBy("rep").orderBy("pos")
+    entries = entries.withColumns({c: F.coalesce(F.lag("tok", k).over(order_of), F.lit(0)) for k, c in enumerate(BEFORE, 1)})
     shared = written(entries.join(heavy.select("rep", F.col("n").cast("int").alias("n"), "bits"), "rep"), "lists")
     classes = written(heavy.select("rep", "k1", "k2", "least", "n", "long"), "classes", (parallelism(spark), "rep"))
     drop_written(heavy)

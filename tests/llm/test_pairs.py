@@ -300,11 +300,46 @@ def test_each_candidate_pair_comes_once(spark, near_copies, monkeypatch):
     assert all(len(set(pairs)) == len(pairs) and all(a < b for a, b in pairs) for pairs in rounds) and rounds[0]
 
 
+def test_near_copies_meet_in_few_lists():
+    """A group of near copies shares some twenty listed tokens a pair; the candidates before distinct() are few a pair, whatever the partitions."""
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(w if rng.random() > 0.01 else f"x{rng.random()}" for w in base)) for i in range(60)]
+    got = []
+    plain = jaccard_join.Lists.pairs
+
+    def counted(self, x):
+        left, right = plain(self, x)
+        got.append((len(left), set(zip(np.minimum(x["rep"][left], x["rep"][right]).tolist(), np.maximum(x["rep"][left], x["rep"][right]).tolist()))))
+
+    sets = [jaccard_join.shingle_set(t.encode(), 5) for _, t in rows]
+    counts: dict[int, int] = {}
+    for s in sets:
+        for h in s.tolist():
+            counts[h] = counts.get(h, 0) + 1
+    entries = []
+    for rep, s in enumerate(sets):
+        first = sorted(s.tolist(), key=lambda h: (counts[h], h))[: jaccard_join.prefix_length(len(s), 80)]
+        listed = [h for h in first if counts[h] > 1]
+        entries += [(h, len(s), rep, first.index(h), [*reversed(listed[max(0, k - 3) : k]), 0, 0, 0][:3]) for k, h in enumerate(listed)]
+    entries.sort()
+    col = lambda k: np.array([e[k] for e in entries])
+    tok = np.array([e[0] for e in entries], np.uint64)
+    x = {"list": np.cumsum(np.r_[True, tok[1:] != tok[:-1]]), "n": col(1), "rep": col(2), "pos": col(3), "comp": col(2), "off": np.ones(len(entries), bool), "side": np.zeros(len(entries), int), "bits": np.frombuffer(b"".join(jaccard_join.bitmap(sets[e[2]]) for e in entries), np.uint64).reshape(-1, 4), "before": [np.array([e[4][k] for e in entries], np.uint64) for k in range(3)]}
+    for forest in (True, False):
+        counted(jaccard_join.Lists(80, forest), x)
+    without = dict(x, before=[np.zeros(len(entries), np.uint64)])
+    counted(jaccard_join.Lists(80, False), without)
+    (_, _), (rows_all, pairs_all), (rows_plain, pairs_plain) = got
+    links = {(a, b) for a, b in itertools.combinations(range(60), 2) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    assert links <= pairs_all <= pairs_plain and len(links) > 100 and rows_all < 3 * len(pairs_all) and rows_plain > 2 * rows_all
+
+
 def test_blocks_skip_by_position_and_lose_nothing():
     rng = np.random.default_rng(5)
     n = np.sort(rng.integers(20, 60, 300))
     pos = (rng.random(300) * jaccard_join.prefix_length(60, 80)).astype(np.int64) % n
-    x = {"n": n, "pos": pos, "comp": np.arange(300), "off": np.ones(300, bool), "side": np.zeros(300, int), "bits": np.zeros((300, 4), np.uint64)}
+    x = {"n": n, "pos": pos, "comp": np.arange(300), "off": np.ones(300, bool), "side": np.zeros(300, int), "bits": np.zeros((300, 4), np.uint64), "before": [rng.integers(0, 40, 300) for _ in range(3)]}
     lists = jaccard_join.Lists(80, False)
     i, j = lists._blocks(x, 0, 300)
     a, b = np.triu_indices(300, 1)
