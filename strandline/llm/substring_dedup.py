@@ -36,7 +36,7 @@ from strandline.storage import parallelism
 
 WINDOW = 13
 #: Text of a block, and text whose windows a bucket holds.
-BLOCK_BYTES, BUCKET_BYTES = 24 << 20, 48 << 20
+BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 48 << 20
 _FAR = np.iinfo(np.int64).max
 
 
