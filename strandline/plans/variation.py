@@ -52,13 +52,27 @@ def sentences(text: str) -> list[str]:
 
 
 def fitted(control: str, before: list[str], window: str, budget: int, count: Callable[[str], int]) -> str:
-    """control, as many of the latest sentences before as fit the budget, and the window; sentences are never cut."""
-    for start in range(len(before) + 1):
-        parts = [control, " ".join(before[start:]).strip(), window]
-        text = " ".join(p for p in parts if p)
-        if count(text) <= budget:
-            return text
-    return text
+    """control, as many of the latest sentences before as fit the budget, and the window; sentences are never cut.
+
+    More sentences never count less, so the number is found by doubling and halving: the work follows the budget, not
+    the length of what came before.
+    """
+
+    def text(n: int) -> str:
+        parts = [control, " ".join(before[len(before) - n :]).strip(), window]
+        return " ".join(p for p in parts if p)
+
+    low, high = 0, 1
+    while high <= len(before) and count(text(high)) <= budget:
+        low, high = high, 2 * high
+    high = min(high, len(before) + 1)
+    while high - low > 1:
+        middle = (low + high) // 2
+        if count(text(middle)) <= budget:
+            low = middle
+        else:
+            high = middle
+    return text(low)
 
 
 def rewritten(texts: list[str], rewrite: Callable[[list[str]], list[str]], how: Variation, count: Callable[[str], int] = lambda s: len(s.split())) -> list[str]:
