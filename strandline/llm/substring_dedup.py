@@ -95,10 +95,14 @@ class Block:
             ends[start:end] = end
         stop = np.where(repeated, n, np.arange(n))
         onward = np.minimum(np.minimum.accumulate(stop[::-1])[::-1], ends) - np.arange(n) if n else np.zeros(0, np.int64)
-        order = np.lexsort((np.arange(n), -onward, self.group))
-        lead = np.ones(n, bool)
+        # only a window with several occurrences has a choice
+        some = np.flatnonzero((np.bincount(self.group, minlength=len(self.firsts)) > 1)[self.group])
+        order = some[np.lexsort((some, -onward[some], self.group[some]))]
+        lead = np.ones(len(order), bool)
         lead[1:] = self.group[order][1:] != self.group[order][:-1]
-        return order[lead], onward[order[lead]].astype(np.uint32)
+        best = self.firsts.copy()
+        best[self.group[order[lead]]] = order[lead]
+        return best, onward[best].astype(np.uint32)
 
 
 def _by_bucket(block: Block, n_buckets: int):
@@ -292,9 +296,14 @@ def substring_dedup(df: DataFrame, width: int = WINDOW, id_col: str = "doc_id",
         if len(block.h1):
             # the block's own addresses, then the answers, which are better where there are any
             first = block.firsts
-            lead, run = block.best(np.zeros(len(first), bool))
-            both = [np.concatenate(x) for x in zip((block.h1[first], block.h2[first], block.doc[first], block.pos[first], block.doc[lead], block.pos[lead], np.zeros(len(first), np.uint32) if len(h1) else run), (h1, h2, *answered))]
-            best_of = [x[: len(first)][block.group] for x in chosen(*both)[:4]]
+            lead, _ = block.best(np.zeros(len(first), bool))
+            own = [block.doc[first], block.pos[first], block.doc[lead], block.pos[lead]]
+            hit = np.flatnonzero(_within(block.h1[first], np.unique(h1)))
+            if len(hit):
+                both = [np.concatenate((x[hit], y)) for x, y in zip((block.h1[first], block.h2[first], *own, np.zeros(len(first), np.uint32)), (h1, h2, *answered))]
+                for x, found in zip(own, chosen(*both)):
+                    x[hit] = found[: len(hit)]
+            best_of = [x[block.group] for x in own]
         out = {"doc_id": ids, "n_words": [], "n_removed": [], "n_factors": [], "kept": []}
         for i, words in enumerate(block.words):
             start, end = block.at.get(i, (0, 0))
