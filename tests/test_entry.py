@@ -36,6 +36,20 @@ def test_query(spark, duck, name):
         assert len(got) > 0
 
 
+@pytest.mark.parametrize("items", [["abc def", "xyz"], ["abc", "123"]])
+def test_vector_matches_without_letters(spark, tmp_path, items):
+    """A text without letters has a zero vector, whose cosine is NaN in SQL."""
+    documents = [(0, "abc abd", "en", "s0", 7), (50, "1234 5678", "en", "s1", 9), (100, "xyy " * 200, "en", "s2", 800), (150, "", "en", "s3", 0)]
+    spark.createDataFrame(documents, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(queries.SQL["k1_vector_matches"]).fetchall()
+    got = queries.QUERIES["k1_vector_matches"](spark, str(tmp_path)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and len(got) == 4
+
+
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(queries.QUERIES) <= set(entry.queries())
